@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, sharding
+from . import byte_bpe, quality_rules, secrets, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,5 +20,13 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), 16)
 
 
-QUERIES = {f.__name__: f for f in (op4_byte_bpe, op5_sharding)}
-ORACLE: dict[str, str] = {}
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op4_byte_bpe, op5_sharding, op9_quality_rules, op10_secrets)}
+ORACLE: dict[str, str] = {"op9_quality_rules": quality_rules.ORACLE_SQL}
