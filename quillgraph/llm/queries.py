@@ -5,13 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, quality_rules, secrets, sharding
+from . import byte_bpe, ngram_join, quality_rules, secrets, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
@@ -28,5 +32,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_byte_bpe, op5_sharding, op9_quality_rules, op10_secrets)}
-ORACLE: dict[str, str] = {"op9_quality_rules": quality_rules.ORACLE_SQL}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op4_byte_bpe, op5_sharding, op9_quality_rules, op10_secrets)}
+ORACLE: dict[str, str] = {"op1_ngram_join": ngram_join.ORACLE_SQL, "op9_quality_rules": quality_rules.ORACLE_SQL}
