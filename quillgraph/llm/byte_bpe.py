@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding of whole texts.
 
-Global distinct-word shuffle: every block of texts is cut into pre-tokens, which leave as one row for each distinct
-word of the block with all its positions. The rows meet by word, where a word is encoded once; its ids go back with
-the positions, and each block is put together again by position. Decoding looks every id up in the token-byte table,
+Global distinct-word shuffle: every block of texts is cut into pre-tokens, and each distinct word of the block leaves with
+all its positions, packed by the task that its hash names. There the words of all blocks meet and each is encoded once; ids go
+back with the positions, and each block is put together again by position. Decoding looks every id up in the token-byte table,
 whose size is that of the vocabulary.
 
 Null and empty texts have no tokens. Null ids stay null. Repeated rows give repeated results. Extra columns are not read.
@@ -15,6 +15,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 from . import text_kernel as K
 from .runtime import narrowed, partitions, pieces, prepare
 
-#: Bytes of positions from which a word's rows are spread over more tasks, and over how many. Rarer words stay in one.
-HEAVY_BYTES, HEAVY_SPREAD = 2048, 64
+#: Bytes of positions in a block from which a word is spread over all tasks. Rarer words stay in one.
+HEAVY_BYTES = 2048
 #: Distinct words whose ids a task keeps.
 KEPT_WORDS = 200_000
 #: Bytes up to which a word is scanned rather than kept in a heap; a rank above all ranks.
@@ -86,54 +87,74 @@ def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of texts to rows (block, word, positions), and one row with the block's documents."""
-    block = TaskContext.get().partitionId() << 32
-    for piece in pieces(batches, "text"):
-        ids, col = piece.column("doc_id"), piece.column("text")
-        buf, offs = K.buffer_of(col)
-        starts = K.pretoken_starts(buf, offs)
-        ends = np.append(starts[1:], len(buf))
-        counts = np.diff(np.searchsorted(starts, offs))
-        head = np.concatenate([[len(ids)], pc.fill_null(ids, 0).to_numpy().astype(np.int64), pc.is_null(ids).to_numpy(zero_copy_only=False), counts]).astype(np.int64)
-        words, at, word_offs, at_offs = np.zeros(0, np.uint8), np.zeros(0, np.uint8), np.zeros(1, np.int64), np.zeros(1, np.int64)
-        if len(starts):
-            h = K.span_hashes(buf, starts, ends)
-            hs = np.sort(h)
-            distinct = hs[np.concatenate([[True], hs[1:] != hs[:-1]])]
-            key = (np.searchsorted(distinct, h).astype(np.uint64) << np.uint64(32)) | np.arange(len(h), dtype=np.uint64)
-            key.sort()
-            rank, pos = (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            first = np.flatnonzero(np.concatenate([[True], rank[1:] != rank[:-1]]))
-            gap = np.diff(pos, prepend=0)
-            gap[first] = pos[first]
-            at, each = K.put_varints(gap)
-            at_offs = each[np.append(first, len(gap))]
-            words, word_offs = K.take_spans(buf, starts[pos[first]], ends[pos[first]])
-        n = len(word_offs) - 1
-        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([head.tobytes()], pa.binary())], ["block", "word", "at", "docs"])
-        if n:
-            whole = pa.RecordBatch.from_arrays([pa.array(np.full(n, block, np.int64)), K.binary_array(words, word_offs), K.binary_array(at, at_offs), pa.nulls(n, pa.binary())], ["block", "word", "at", "docs"])
-            yield from (whole.slice(i, 50_000) for i in range(0, n, 50_000))
-        block += 1
+def _exploder(buckets: int):
+    """Blocks of texts to rows (block, bucket, payload): the distinct words of a block that hash to a bucket, with all their
+    positions. A first row, of bucket -1, holds the block's documents. Words with long position lists are in another bucket
+    for each block, so that no task gathers the positions of a frequent word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
+        for piece in pieces(batches, "text"):
+            ids, col = piece.column("doc_id"), piece.column("text")
+            buf, offs = K.buffer_of(col)
+            starts = K.pretoken_starts(buf, offs)
+            ends = np.append(starts[1:], len(buf))
+            counts = np.diff(np.searchsorted(starts, offs)).astype(np.int64)
+            null = pc.is_null(ids).to_numpy(zero_copy_only=False).astype(np.uint8)
+            rows = [(-1, K.pack(pc.fill_null(ids, 0).to_numpy().astype(np.int64), null, counts))]
+            if len(starts):
+                h = K.span_hashes(buf, starts, ends)
+                hs = np.sort(h)
+                distinct = hs[np.concatenate([[True], hs[1:] != hs[:-1]])]
+                key = (np.searchsorted(distinct, h).astype(np.uint64) << np.uint64(32)) | np.arange(len(h), dtype=np.uint64)
+                key.sort()
+                rank, pos = (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
+                first = np.flatnonzero(np.concatenate([[True], rank[1:] != rank[:-1]]))
+                gap = np.diff(pos, prepend=0)
+                gap[first] = pos[first]
+                at, each = K.put_varints(gap)
+                at_cut = each[np.append(first, len(gap))]
+                bucket = ((distinct >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+                heavy = np.diff(at_cut) > HEAVY_BYTES
+                bucket[heavy] = (bucket[heavy] + block * 7 + (block >> 32) * 13) % buckets
+                order = np.argsort(bucket, kind="stable")
+                edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                for b in range(buckets):
+                    mine = order[edge[b] : edge[b + 1]]
+                    if len(mine):
+                        where = pos[first[mine]]
+                        words, word_offs = K.take_spans(buf, starts[where], ends[where])
+                        places, place_offs = K.take_spans(at, at_cut[mine], at_cut[mine + 1])
+                        rows.append((b, K.pack(words, K.put_varints(np.diff(word_offs))[0], places, K.put_varints(np.diff(place_offs))[0])))
+            yield pa.RecordBatch.from_arrays([pa.array([block] * len(rows), pa.int64()), pa.array([b for b, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["block", "bucket", "payload"])
+            block += 1
+
+    return run
 
 
 def _encoder(ranks_path: str):
+    """Replaces the words of a payload by their ids. A word meets its rows of all blocks in one task, which encodes it once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, kept = load_ranks(ranks_path), {}
         for batch in batches:
             out = []
-            for w in batch.column("word").to_pylist():
-                if w is None:
-                    out.append(None)
-                    continue
-                ids = kept.get(w)
-                if ids is None:
-                    if len(kept) >= KEPT_WORDS:
-                        kept.clear()
-                    ids = kept[w] = np.array(merge_word(w, ranks), "<i4").tobytes()
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(out, pa.binary()), batch.column("at"), batch.column("docs")], ["block", "ids", "at", "docs"])
+            for bucket, payload in zip(batch.column("bucket").to_pylist(), batch.column("payload").to_pylist(), strict=True):
+                if bucket >= 0:
+                    words, sizes, places, place_sizes = K.unpack(payload)
+                    raw, cut = words.tobytes(), [0, *np.cumsum(K.get_varints(sizes)[0]).tolist()]
+                    found = []
+                    for w in (raw[a:b] for a, b in zip(cut, cut[1:])):
+                        ids = kept.get(w)
+                        if ids is None:
+                            if len(kept) >= KEPT_WORDS:
+                                kept.clear()
+                            ids = kept[w] = merge_word(w, ranks)
+                        found.append(ids)
+                    flat = np.fromiter(chain.from_iterable(found), np.int64)
+                    payload = K.pack(K.put_varints(flat)[0], K.put_varints(np.fromiter(map(len, found), np.int64, len(found)))[0], places, place_sizes)
+                out.append(payload)
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("bucket"), pa.array(out, pa.binary())], ["block", "bucket", "payload"])
 
     return run
 
@@ -142,23 +163,25 @@ class Block:
     """The documents of one block with their words in order."""
 
     def __init__(self, table: pa.Table):
-        head = np.frombuffer(next(x for x in table.column("docs").to_pylist() if x is not None), np.int64)
-        n = int(head[0])
-        self.doc_ids = [None if null else i for i, null in zip(head[1 : n + 1].tolist(), head[n + 1 : 2 * n + 1].tolist(), strict=True)]
-        counts = head[2 * n + 1 :]
-        self.edges = np.concatenate([[0], np.cumsum(counts)])
-        rows = table.filter(pc.is_valid(table.column("ids")))
-        data, offs = K.buffer_of(rows.column("ids"))
-        self.ids, self.id_offs = data.view("<i4"), offs // 4
-        data, offs = K.buffer_of(rows.column("at"))
-        gaps, ends = K.get_varints(data)
-        bounds = np.searchsorted(ends, offs[1:], side="right")
-        first = np.concatenate([[0], bounds[:-1]]).astype(np.int64)
-        pos = np.cumsum(gaps)
-        size = bounds - first
-        pos -= np.repeat(np.where(first > 0, pos[np.maximum(first - 1, 0)], 0), size)
-        self.word_at = np.empty(len(pos), np.int64)
-        self.word_at[pos] = np.repeat(np.arange(len(size)), size)
+        parts = {b: K.unpack(x) for b, x in zip(table.column("bucket").to_pylist(), table.column("payload").to_pylist(), strict=True)}
+        ids, null, counts = parts.pop(-1)
+        self.doc_ids = [None if x else i for i, x in zip(ids.view(np.int64).tolist(), null.tolist(), strict=True)]
+        self.edges = np.concatenate([[0], np.cumsum(counts.view(np.int64))])
+        self.word_at = np.zeros(int(self.edges[-1]), np.int64)
+        all_ids, all_sizes, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        for flat, sizes, places, place_sizes in parts.values():
+            all_ids.append(K.get_varints(flat)[0])
+            all_sizes.append(K.get_varints(sizes)[0])
+            gaps, ends = K.get_varints(places)
+            bounds = np.searchsorted(ends, np.cumsum(K.get_varints(place_sizes)[0]), side="right")
+            first = np.concatenate([[0], bounds[:-1]])
+            pos = np.cumsum(gaps)
+            uses = bounds - first
+            pos -= np.repeat(np.where(first > 0, pos[np.maximum(first - 1, 0)], 0), uses)
+            self.word_at[pos] = np.repeat(np.arange(n, n + len(uses)), uses)
+            n += len(uses)
+        self.ids = np.concatenate(all_ids)
+        self.id_offs = np.concatenate([[0], np.cumsum(np.concatenate(all_sizes))])
 
 
 def _digests(ranks_path: str):
@@ -183,19 +206,20 @@ def _digests(ranks_path: str):
 
 def _sequences(table: pa.Table) -> pa.Table:
     block, out = Block(table), []
-    words = [block.ids[a:b] for a, b in zip(block.id_offs[:-1], block.id_offs[1:], strict=True)]
+    words = [block.ids[a:b].astype(np.int32) for a, b in zip(block.id_offs[:-1], block.id_offs[1:], strict=True)]
     for a, b in zip(block.edges[:-1].tolist(), block.edges[1:].tolist(), strict=True):
-        out.append(np.concatenate([words[k] for k in block.word_at[a:b].tolist()] or [np.zeros(0, "<i4")]))
+        out.append(np.concatenate([words[k] for k in block.word_at[a:b].tolist()] or [np.zeros(0, np.int32)]))
     return pa.table({"doc_id": pa.array(block.doc_ids, pa.int64()), "ids": pa.array(out, pa.list_(pa.int32()))})
 
 
 def encoded_words(docs: DataFrame, ranks_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (block, ids, at, docs): the ids of each distinct word of a block with its positions there."""
+    """Rows (block, bucket, payload): the ids of the distinct words of a block with their positions there."""
     spark = prepare(docs.sparkSession)
-    rows = narrowed(docs, id_col, text_col).mapInArrow(_explode, "block long, word binary, at binary, docs binary")
-    spread = F.when(F.octet_length("at") > HEAVY_BYTES, F.pmod("block", F.lit(HEAVY_SPREAD))).otherwise(F.lit(0))
-    met = rows.repartition(partitions(spark), F.coalesce(F.xxhash64("word"), F.col("block")), spread)
-    return met.mapInArrow(_encoder(ranks_path), "block long, ids binary, at binary, docs binary")
+    n = partitions(spark)
+    schema = "block long, bucket int, payload binary"
+    rows = narrowed(docs, id_col, text_col).mapInArrow(_exploder(n), schema)
+    target = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.pmod("block", F.lit(n)).cast("int"))
+    return rows.repartitionById(n, target).mapInArrow(_encoder(ranks_path), schema)
 
 
 def encode(docs: DataFrame, ranks_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

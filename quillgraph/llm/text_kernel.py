@@ -125,6 +125,21 @@ def get_varints(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, ends
 
 
+def pack(*parts: np.ndarray) -> bytes:
+    """Arrays of bytes as one compressed string."""
+    sizes = np.array([len(parts), *(p.nbytes for p in parts)], np.int64)
+    raw = sizes.tobytes() + b"".join(np.ascontiguousarray(p).tobytes() for p in parts)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    """The arrays of ``pack``, as bytes."""
+    raw = np.frombuffer(pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True), np.uint8)
+    n = int(raw[:8].view(np.int64)[0])
+    cuts = 8 * (n + 1) + np.concatenate([[0], np.cumsum(raw[8 : 8 * (n + 1)].view(np.int64))])
+    return [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
 _CLASS: list[np.ndarray] = []
 SPACE, LETTER, NUMBER, OTHER = range(4)
 
