@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, language_model, ngram_join, quality_lm, quality_rules, secrets, sharding
+from . import byte_bpe, decontaminate, language_model, licenses, ngram_join, quality_lm, quality_rules, secrets, sharding, token_count
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,14 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"), words=3, percent=90)
 
 
+def op2_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
@@ -32,6 +40,10 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_lm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -40,5 +52,13 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op4_byte_bpe, op5_sharding, op6_lm_scoring, op7_quality_classifier, op9_quality_rules, op10_secrets)}
-ORACLE: dict[str, str] = {"op1_ngram_join": ngram_join.ORACLE_SQL, "op9_quality_rules": quality_rules.ORACLE_SQL}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_ngram_join, op2_token_count, op3_decontamination, op4_byte_bpe, op5_sharding,
+        op6_lm_scoring, op7_quality_classifier, op8_license_scan, op9_quality_rules, op10_secrets,
+    )
+}
+ORACLE: dict[str, str] = {
+    "op1_ngram_join": ngram_join.ORACLE_SQL, "op8_license_scan": licenses.oracle_sql(), "op9_quality_rules": quality_rules.ORACLE_SQL,
+}

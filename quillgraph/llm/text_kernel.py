@@ -35,10 +35,19 @@ def lower_ascii(buf: np.ndarray) -> np.ndarray:
 
 def word_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of words, and for each row of ``offs`` the index of its first word (with a last entry)."""
-    n = len(buf)
+    return run_spans(~((buf == 32) | ((buf - np.uint8(9)) < np.uint8(5))), offs)
+
+
+def plain_word_spans(low: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for runs of a-z, 0-9 and bytes of non-ASCII characters in lower-cased bytes: words without punctuation."""
+    return run_spans(((low - np.uint8(97)) < np.uint8(26)) | ((low - np.uint8(48)) < np.uint8(10)) | (low >= 128), offs)
+
+
+def run_spans(inside: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of marked bytes that rows of ``offs`` cut."""
+    n = len(inside)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
-    inside = ~((buf == 32) | ((buf - np.uint8(9)) < np.uint8(5)))
     edge = np.zeros(n + 1, bool)
     edge[offs] = True
     before = np.empty(n, bool)
