@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text_kernel as K
-from .runtime import narrowed, pieces, prepare
+from .runtime import narrowed, pieces, prepare, rows_kept
 
 #: Share of an item's words that may differ, fewest words of an item, words of a benchmark slice.
 SHARE, LEAST_WORDS, SLICE_WORDS = 0.2, 5, 1_000_000
@@ -231,3 +231,19 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", te
 def contaminated(docs: DataFrame, benchmark: DataFrame, **cols: str) -> DataFrame:
     """``doc_id, n_words, contaminated, item_ids, distances`` for every document."""
     return matches(docs, benchmark, **cols).select("doc_id", "n_words", (F.size("found") > 0).alias("contaminated"), F.col("found.item_id").alias("item_ids"), F.col("found.distance").alias("distances"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The documents that hold no item, with all their columns."""
+    spark = prepare(docs.sparkSession)
+    for rows in item_slices(benchmark, id_col=item_col, text_col=item_text_col):
+        held = spark.sparkContext.broadcast(Items(rows))
+
+        def mask(piece: pa.RecordBatch, held=held) -> pa.Array:
+            words, first = plain_words(*K.buffer_of(piece.column(text_col)))
+            keep = np.ones(piece.num_rows, bool)
+            keep[[row for row, *_ in held.value.search(words, first)]] = False
+            return pa.array(keep)
+
+        docs = rows_kept(docs, text_col, mask)
+    return docs

@@ -374,19 +374,24 @@ def log_probabilities(m: Model, before: np.ndarray, ids: np.ndarray, firsts: np.
     return np.log10(p)
 
 
+def score_piece(m: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens, known tokens, base score and score of each text."""
+    h, cuts = tokens(*K.buffer_of(texts), m.fold)
+    distinct = tally(h)[0]
+    ids, count, firsts = (x[np.searchsorted(distinct, h)] for x in word_ids(m, distinct, "word-count", "word-firsts"))
+    before = np.empty(len(ids), np.int64)
+    before[1:] = ids[:-1]
+    before[cuts[:-1]] = m.vocabulary
+    base = np.log10((count + 1) / (m.tokens + m.vocabulary + 1))
+    score = log_probabilities(m, before, ids, firsts)
+    return np.diff(cuts), *(np.add.reduceat(x, cuts[:-1]) for x in ((count > 0).astype(np.int64), base, score))
+
+
 def _scorer(m: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text"):
-            h, cuts = tokens(*K.buffer_of(piece.column("text")), m.fold)
-            distinct = tally(h)[0]
-            ids, count, firsts = (x[np.searchsorted(distinct, h)] for x in word_ids(m, distinct, "word-count", "word-firsts"))
-            before = np.empty(len(ids), np.int64)
-            before[1:] = ids[:-1]
-            before[cuts[:-1]] = m.vocabulary
-            base = np.log10((count + 1) / (m.tokens + m.vocabulary + 1))
-            score = log_probabilities(m, before, ids, firsts)
-            sums = [np.add.reduceat(x, cuts[:-1]) for x in ((count > 0).astype(np.int64), base, score)]
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("held"), pa.array(np.diff(cuts)), *map(pa.array, sums)], ["doc_id", "held", "n_tokens", "n_known", "base_score", "score"])
+            found = score_piece(m, piece.column("text"))
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("held"), *map(pa.array, found)], ["doc_id", "held", "n_tokens", "n_known", "base_score", "score"])
 
     return run
 

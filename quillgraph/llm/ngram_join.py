@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import text_kernel as K
@@ -343,6 +344,18 @@ def join(docs: DataFrame, *, words: int = 3, percent: int = 90, id_col: str = "d
     return done.select("doc_id", F.col("n").cast("long").alias("n_shingles"), own("component_id"), own("class_id"))
 
 
+def deduplicated(docs: DataFrame, *, words: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each component, that with the smallest id, with all columns. An id is one document: of rows with one id
+    one stays. Rows without an id stay, as they are in no component."""
+    found = join(docs, words=words, percent=percent, id_col=id_col, text_col=text_col)
+    keep = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
+    key = F.col(f"`{id_col}`").cast("long")
+    kept = docs.join(keep, key == F.col("_keep"), "left_semi")
+    one = W.partitionBy(key).orderBy(F.col(f"`{text_col}`"))
+    first = kept.withColumn("_row", F.row_number().over(one)).filter("_row = 1").drop("_row")
+    return first.unionByName(docs.filter(key.isNull()))
+
+
 #: The same in DuckDB for the given shingles and limit.
 ORACLE_SQL = r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),

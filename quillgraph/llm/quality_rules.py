@@ -85,8 +85,8 @@ def cutoffs(measured: DataFrame, labels: DataFrame, *, risk: float = RISK, level
     long = rated.select(F.coalesce("lang", F.lit("")).alias("lang"), F.expr("stack(%d, %s) as (rule, share)" % (len(RULES), ", ".join(f"'{k}', share_{k}" for k in RULES))))
     seen = long.groupBy("lang", "rule", "share").agg(F.count("*").alias("n"))
     full = seen.groupBy("lang", "rule").agg(F.sum("n").alias("n_good"), F.sort_array(F.collect_list(F.struct("share", "n"))).alias("found"))
-    tests = full.select(F.countDistinct("lang").alias("langs"))
-    limit = full.crossJoin(F.broadcast(tests)).withColumn("k", binomial_limit(F.col("n_good"), risk / len(RULES), F.log(F.lit(level) / (F.col("langs") * len(RULES)))))
+    tests = max(1, full.count())
+    limit = full.withColumn("k", binomial_limit(F.col("n_good"), risk / len(RULES), F.lit(math.log(level / tests))))
     above = lambda c: F.aggregate(F.filter("found", lambda x: x["share"] > c), F.lit(0).cast("long"), lambda s, x: s + x["n"])
     tried = F.filter(F.concat(F.array(F.lit(0)), F.transform("found", lambda x: x["share"])), lambda c: above(c) <= F.col("k"))
     return limit.filter("k >= 0").select("lang", "rule", F.array_min(tried).alias("cutoff"), "n_good", above(F.array_min(tried)).alias("false_rejections"))

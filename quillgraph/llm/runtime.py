@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -82,3 +82,13 @@ def narrowed(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFra
     """Only the columns an operator reads, under fixed names; other columns, whatever they are called, stay behind."""
     cols = [F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")]
     return docs.select(*cols, *(F.col(f"`{m}`").alias(m) for m in more))
+
+
+def rows_kept(docs: DataFrame, text_col: str, mask: Callable[[pa.RecordBatch], pa.Array], limit: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs``, with all their columns, for which ``mask`` says so of a piece; nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, text_col, limit):
+            yield piece.filter(mask(piece))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -97,23 +97,27 @@ def _natural(token: Column) -> Column:
 
 def found(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document its base spans and the candidates of the battery with their scores; nothing is shuffled."""
-    text = F.col("text")
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    return _scored(src, "doc_id")
+
+
+def _scored(src: DataFrame, *more: str) -> DataFrame:
+    """``base``, ``candidates`` and ``ordinary`` of a column ``text`` without nulls, besides other columns."""
+    text = F.col("text")
     base = F.array_sort(F.concat(_kind(_assigned(text), 0), _kind(match_spans(text, ACCESS), 1), _kind(match_spans(text, HEX), 2)))
-    spans = src.select("doc_id", base.alias("base"), match_spans(text, RUN).alias("runs"))
+    spans = src.select(*more, base.alias("base"), match_spans(text, RUN).alias("runs"))
     free = F.filter("runs", lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
-    split = spans.select("doc_id", "base", free.alias("runs"))
+    split = spans.select(*more, "base", free.alias("runs"))
     signed = F.transform(F.filter("runs", lambda r: ~_natural(r["match"])), lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), _signs(r["match"]).alias("signs"), _band(r["match"]).alias("band"), F.when(_signs(r["match"]) == 16, score(_read(r["match"], 16), 16)).when(_signs(r["match"]) == 32, score(_read(r["match"], 32), 32)).otherwise(score(_read(r["match"], 64), 64)).alias("score")))
     as_null = lambda m, k: F.struct(F.lit(k).alias("signs"), _band(m).alias("band"), score(F.transform(_chars(m), lambda c: F.ascii(c) % k), k).alias("score"))
     null = F.flatten(F.transform(F.filter("runs", lambda r: _natural(r["match"])), lambda r: F.array(*[as_null(r["match"], k) for k in ALPHABETS])))
-    return split.select("doc_id", "base", signed.alias("candidates"), null.alias("ordinary"))
+    return split.select(*more, "base", signed.alias("candidates"), null.alias("ordinary"))
 
 
 def cutoffs(scored: DataFrame, *, rate: float = RATE) -> DataFrame:
     """``signs, band, score``: the highest score that counts as random. Counts by score are bounded, whatever the corpus."""
     tally = lambda c: scored.select(F.explode(c).alias("x")).groupBy("x.signs", "x.band", "x.score").agg(F.count("*").alias("n"))
-    bands = scored.sparkSession.range(13).select(F.col("id").cast("int").alias("band"))
-    ordinary = tally("ordinary").withColumnRenamed("band", "from_band").join(F.broadcast(bands), F.col("from_band") <= F.col("band")).groupBy("signs", "band", "score").agg(F.sum("n").alias("n0"))
+    ordinary = tally("ordinary").withColumn("band", F.explode(F.sequence("band", F.lit(12)))).groupBy("signs", "band", "score").agg(F.sum("n").alias("n0"))
     both = tally("candidates").withColumnRenamed("n", "n1").join(ordinary, ["signs", "band", "score"], "full").fillna(0, ["n0", "n1"])
     both.createOrReplaceTempView("_secret_scores")
     return scored.sparkSession.sql(f"""
@@ -127,12 +131,43 @@ def _text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1), s["start"], s["end"])), ",")
 
 
+def _hit(scored: DataFrame, rate: float):
+    """Whether a candidate counts as random."""
+    limits = {(r["signs"], r["band"]): r["score"] for r in cutoffs(scored, rate=rate).collect()}  # 3 encodings x 13 bands at most
+    return lambda c: F.coalesce(*[F.when((c["signs"] == k) & (c["band"] == b), c["score"] <= s) for (k, b), s in limits.items()], F.lit(False))
+
+
 def scan(docs: DataFrame, *, rate: float = RATE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``base`` and ``random`` spans as arrays of (start, kind, end)."""
     scored = stored(found(docs, id_col=id_col, text_col=text_col), "secrets")
-    limits = {(r["signs"], r["band"]): r["score"] for r in cutoffs(scored, rate=rate).collect()}  # 3 encodings x 13 bands at most
-    hit = lambda c: F.coalesce(*[F.when((c["signs"] == k) & (c["band"] == b), c["score"] <= s) for (k, b), s in limits.items()], F.lit(False))
-    return scored.select("doc_id", "base", _kind(F.filter("candidates", hit), 3).alias("random"))
+    return scored.select("doc_id", "base", _kind(F.filter("candidates", _hit(scored, rate)), 3).alias("random"))
+
+
+def redacted(docs: DataFrame, *, rate: float = RATE, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars", mark: str = "[SECRET]") -> DataFrame:
+    """All documents with their columns; spans, joined where they overlap, give way to ``mark``, and ``size_col`` is the new length.
+    Nothing is shuffled: the spans are found once for the cutoffs and once more on the way."""
+    hit = _hit(stored(found(docs, id_col=id_col, text_col=text_col), "secrets"), rate)
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    where = docs.columns.index(text_col)
+    src = docs.toDF(*names).withColumn("text", F.coalesce(F.col(names[where]), F.lit("")))
+    both = _scored(src, *names, "text")
+    spans = F.array_sort(F.concat("base", _kind(F.filter("candidates", hit), 3)))
+    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
+    pair = lambda a, b: F.struct(a.alias("start"), b.alias("end"))
+
+    def joined(acc: Column, s: Column) -> Column:
+        last = F.element_at(acc, -1)
+        return F.when((F.size(acc) > 0) & (s["start"] < F.get(acc, F.size(acc) - 1)["end"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(pair(last["start"], F.greatest(last["end"], s["end"]))))).otherwise(F.concat(acc, F.array(pair(s["start"], s["end"]))))
+
+    def masked(m: Column) -> Column:
+        begins = F.concat(F.array(F.lit(0).cast("long")), F.transform(m, lambda s: s["end"]))
+        ends = F.concat(F.transform(m, lambda s: s["start"]), F.array(F.char_length("text").cast("long")))
+        return F.array_join(F.zip_with(begins, ends, lambda a, b: F.substring("text", (a + 1).cast("int"), (b - a).cast("int"))), mark)
+
+    new = F.when(F.size("spans") > 0, let(F.aggregate("spans", none, joined), masked)).otherwise(F.col(names[where]))
+    out = both.withColumn("spans", spans).withColumn("_new", new)
+    cols = [F.col("_new") if i == where else F.when(F.size("spans") > 0, F.char_length("_new").cast(docs.schema[c].dataType)).otherwise(F.col(names[i])) if c == size_col else F.col(names[i]) for i, c in enumerate(docs.columns)]
+    return out.select(*[x.alias(c) for x, c in zip(cols, docs.columns, strict=True)])
 
 
 def report(docs: DataFrame, *, rate: float = RATE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
