@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 from . import text_kernel as K
 from .runtime import narrowed, partitions, pieces, prepare
 
-#: Bytes of positions in a block from which a word is spread over all tasks. Rarer words stay in one.
-HEAVY_BYTES = 2048
+#: Uses in a block from which a word is spread over all tasks. Rarer words stay in one.
+HEAVY_USES = 2000
+#: Bytes of text in a block: larger blocks name each distinct word less often.
+WORD_BLOCK = 16 << 20
 #: Distinct words whose ids a task keeps.
 KEPT_WORDS = 200_000
 #: Bytes up to which a word is scanned rather than kept in a heap; a rank above all ranks.
@@ -94,7 +96,7 @@ def _exploder(buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
-        for piece in pieces(batches, "text"):
+        for piece in pieces(batches, "text", WORD_BLOCK):
             ids, col = piece.column("doc_id"), piece.column("text")
             buf, offs = K.buffer_of(col)
             starts = K.pretoken_starts(buf, offs)
@@ -110,15 +112,18 @@ def _exploder(buckets: int):
                 key.sort()
                 rank, pos = (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
                 first = np.flatnonzero(np.concatenate([[True], rank[1:] != rank[:-1]]))
-                gap = np.diff(pos, prepend=0)
-                gap[first] = pos[first]
-                at, each = K.put_varints(gap)
-                at_cut = each[np.append(first, len(gap))]
                 bucket = ((distinct >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-                heavy = np.diff(at_cut) > HEAVY_BYTES
+                heavy = np.diff(np.append(first, len(pos))) > HEAVY_USES
                 bucket[heavy] = (bucket[heavy] + block * 7 + (block >> 32) * 13) % buckets
-                order = np.argsort(bucket, kind="stable")
+                order = np.lexsort((pos[first], bucket))  # within a bucket by first place, told as the step from the word before
                 edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                gap = np.diff(pos, prepend=0)
+                step = np.diff(pos[first[order]], prepend=0)
+                opens = edge[:-1][np.diff(edge) > 0]
+                step[opens] = pos[first[order[opens]]]
+                gap[first[order]] = step
+                at, each = K.put_varints(gap)
+                at_cut = each[np.append(first, len(gap))]
                 for b in range(buckets):
                     mine = order[edge[b] : edge[b + 1]]
                     if len(mine):
@@ -177,14 +182,14 @@ class Block:
             first = np.concatenate([[0], bounds[:-1]])
             pos = np.cumsum(gaps)
             uses = bounds - first
-            pos -= np.repeat(np.where(first > 0, pos[np.maximum(first - 1, 0)], 0), uses)
+            pos -= np.repeat(pos[first] - np.cumsum(gaps[first]), uses)
             self.word_at[pos] = np.repeat(np.arange(n, n + len(uses)), uses)
             n += len(uses)
         self.ids = np.concatenate(all_ids)
         self.id_offs = np.concatenate([[0], np.cumsum(np.concatenate(all_sizes))])
 
 
-def _digests(ranks_path: str):
+def _digests(ranks_path: str, with_ids: bool = False):
     def run(table: pa.Table) -> pa.Table:
         block, ranks = Block(table), load_ranks(ranks_path)
         token_bytes = dict(zip(ranks.values(), ranks.keys(), strict=True))
@@ -199,7 +204,8 @@ def _digests(ranks_path: str):
             out[0].append(int(size[at].sum()))
             out[1].append(hashlib.sha256(",".join([texts[k] for k in seq]).encode()).hexdigest())
             out[2].append(hashlib.sha256(b"".join([decoded[k] for k in seq])).hexdigest())
-        return pa.table({"doc_id": pa.array(block.doc_ids, pa.int64()), "n_tokens": pa.array(out[0], pa.int64()), "ids_sha256": pa.array(out[1], pa.string()), "decoded_sha256": pa.array(out[2], pa.string())})
+        cols = {"doc_id": pa.array(block.doc_ids, pa.int64()), "n_tokens": pa.array(out[0], pa.int64()), "ids_sha256": pa.array(out[1], pa.string()), "decoded_sha256": pa.array(out[2], pa.string())}
+        return pa.table(cols | ({"ids": _sequences(table).column("ids")} if with_ids else {}))
 
     return run
 
@@ -244,3 +250,9 @@ def round_trip(docs: DataFrame, ranks_path: str, *, id_col: str = "doc_id", text
     """``doc_id``, ``n_tokens``, SHA-256 of the ids joined by commas, and SHA-256 of the bytes decoded from them."""
     words = encoded_words(docs, ranks_path, id_col=id_col, text_col=text_col)
     return words.groupBy("block").applyInArrow(_digests(ranks_path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def tokenized(docs: DataFrame, ranks_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``round_trip`` with the ids as well."""
+    words = encoded_words(docs, ranks_path, id_col=id_col, text_col=text_col)
+    return words.groupBy("block").applyInArrow(_digests(ranks_path, True), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>")

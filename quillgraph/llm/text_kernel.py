@@ -138,7 +138,7 @@ def pack(*parts: np.ndarray) -> bytes:
     """Arrays of bytes as one compressed string."""
     sizes = np.array([len(parts), *(p.nbytes for p in parts)], np.int64)
     raw = sizes.tobytes() + b"".join(np.ascontiguousarray(p).tobytes() for p in parts)
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=6).compress(raw, asbytes=True)
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
