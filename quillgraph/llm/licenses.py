@@ -1,9 +1,9 @@
 """Licence notices in texts by the Dice coefficient over word bigrams, in built-in functions only.
 
 A unit is a line, a sentence of a line, or a paragraph. Normalised (A-Z lower-cased, anything but letters and digits a space),
-its set of word bigrams is compared with each template's; a unit of one word has that word as its set. Dice of ``LIMIT`` or
-more is a match. The sizes of two such sets are within a factor of (2 - LIMIT) / LIMIT of each other, which rules out most
-templates without comparing. A match also shares LIMIT / (2 - LIMIT) of the template's bigrams at least, so a text with none
+its set of word bigrams is compared with each template's; a unit of one word has that word as its set. Dice of ``LIMIT``
+hundredths or more is a match. With d for that, the sizes of two such sets are within a factor of (2 - d) / d of each other, which
+rules out most templates without comparing. A match also shares d / (2 - d) of the template's bigrams at least, so a text with none
 of the words that touch the remaining share cannot match and is passed over whole: both bounds lose nothing.
 
 Null and empty texts match nothing. Repeated rows give repeated results; units that occur twice in a text count twice. Ties
@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from .columns import let
 
-LIMIT = 0.8
+#: The least Dice coefficient of a match, in hundredths: bounds and matches are compared in whole numbers.
+LIMIT = 80
 # Common notices (fixed values).
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "MIT": (
@@ -68,7 +69,7 @@ def table() -> list[tuple[str, list[str]]]:
     return [(name, bigram_list(normal_words(t))) for name, texts in TEMPLATES.items() for t in texts]
 
 
-def marks(limit: float = LIMIT) -> list[str]:
+def marks(limit: int = LIMIT) -> list[str]:
     """Words of which a text with any match has at least one: for each template the fewest, longest words first, that touch more
     than the share of its bigrams that a match may miss."""
     chosen: list[str] = []
@@ -76,7 +77,7 @@ def marks(limit: float = LIMIT) -> list[str]:
         words = sorted({w for b in bigrams for w in b.split()}, key=lambda w: (w not in chosen, -len(w), w))
         touched: set[str] = set()
         for w in words:
-            if len(touched) > (1 - limit / (2 - limit)) * len(bigrams):
+            if len(touched) * (200 - limit) > (200 - 2 * limit) * len(bigrams):
                 break
             touched |= {b for b in bigrams if w in b.split()}
             if w not in chosen:
@@ -98,7 +99,7 @@ def _bigrams(unit: Column) -> Column:
     return let(words, lambda w: F.when(F.size(w) > 1, F.array_distinct(F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b)))).otherwise(w))
 
 
-def scan(docs: DataFrame, *, limit: float = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, *, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, licences, n_matches, best_dice`` for every document: names in order, units that match, the highest coefficient."""
     templates = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(len(b)).alias("n"), F.array(*map(F.lit, b)).alias("b")) for n, b in table()])
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
@@ -106,12 +107,13 @@ def scan(docs: DataFrame, *, limit: float = LIMIT, id_col: str = "doc_id", text_
     for w in marks(limit):
         has = F.contains(F.col("low"), F.lit(w))
         some = has if some is None else some | has
-    sized = lambda n, t: (n * (2 - limit) >= t["n"] * limit) & (n * limit <= t["n"] * (2 - limit))
+    sized = lambda n, t: (n * (200 - limit) >= t["n"] * limit) & (n * limit <= t["n"] * (200 - limit))
 
     def matched(b: Column) -> Column:
         near = F.filter(templates, lambda t: sized(F.size(b), t))
-        rated = F.transform(near, lambda t: F.struct((2.0 * F.size(F.array_intersect(b, t["b"])) / (F.size(b) + t["n"])).alias("dice"), t["name"].alias("name")))
-        return F.filter(rated, lambda r: r["dice"] >= limit)
+        rated = F.transform(near, lambda t: F.struct(F.size(F.array_intersect(b, t["b"])).alias("both"), (F.size(b) + t["n"]).alias("sum"), t["name"].alias("name")))
+        hits = F.filter(rated, lambda r: 200 * r["both"] >= limit * r["sum"])
+        return F.transform(hits, lambda r: F.struct((2.0 * r["both"] / r["sum"]).alias("dice"), r["name"].alias("name")))
 
     per_unit = F.filter(F.transform(_units(F.col("text")), lambda u: let(_bigrams(u), matched)), lambda m: F.size(m) > 0)
     none = F.array().cast("array<array<struct<dice:double,name:string>>>")
@@ -132,7 +134,7 @@ p AS (SELECT rid, unnest(string_split_regex(text, '\n[\x20\x09]*\n')) AS u FROM
 un AS (SELECT rid, u FROM l UNION ALL SELECT rid, unnest(us) FROM s WHERE len(us) > 1 UNION ALL SELECT rid, u FROM p WHERE contains(trim(u), chr(10))),
 w AS (SELECT row_number() OVER () AS uid, rid, string_split(trim(regexp_replace(translate(u, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM un),
 b AS (SELECT uid, rid, CASE WHEN len(w) > 1 THEN list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) ELSE w END AS b FROM w),
-m AS (SELECT uid, rid, name, 2.0 * len(list_intersect(b.b, t.b)) / (len(b.b) + len(t.b)) AS dice FROM b, t WHERE len(b.b) * 1.2 >= len(t.b) * 0.8 AND len(b.b) * 0.8 <= len(t.b) * 1.2),
-g AS (SELECT rid, count(DISTINCT uid) AS n, max(dice) AS best, array_to_string(list_sort(list(DISTINCT name)), ',') AS names FROM m WHERE dice >= {LIMIT} GROUP BY rid)
+m AS (SELECT uid, rid, name, len(list_intersect(b.b, t.b)) AS x, len(b.b) + len(t.b) AS s FROM b, t),
+g AS (SELECT rid, count(DISTINCT uid) AS n, max(2.0 * x / s) AS best, array_to_string(list_sort(list(DISTINCT name)), ',') AS names FROM m WHERE 200 * x >= {LIMIT} * s GROUP BY rid)
 SELECT doc_id, coalesce(names, '') AS licences, coalesce(n, 0) AS n_matches, round(coalesce(best, 0.0), 6) AS best_dice FROM d LEFT JOIN g USING (rid)
 """

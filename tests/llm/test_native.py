@@ -28,8 +28,7 @@ def licence_brute(text):
     found, best, n = set(), 0.0, 0
     for u in units:
         b = set(licenses.bigram_list(licenses.normal_words(u)))
-        hits = [(2 * len(b & set(t)) / (len(b) + len(t)), name) for name, t in licenses.table()]
-        hits = [h for h in hits if h[0] >= licenses.LIMIT]
+        hits = [(2 * len(b & set(t)) / (len(b) + len(t)), name) for name, t in licenses.table() if 200 * len(b & set(t)) >= licenses.LIMIT * (len(b) + len(t))]
         n += bool(hits)
         found |= {name for _, name in hits}
         best = max([best, *(d for d, _ in hits)])
