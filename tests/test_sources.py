@@ -69,3 +69,42 @@ def test_chunks_versions_and_slices(spark, tmp_path):
     assert [r.text for r in stores.joined_source(lines).collect()] == ["x\ny"]
     want, cache = df.select("idx"), df.filter("idx = 1")
     assert stores.through_cache(want, cache, lambda miss: miss.selectExpr("idx", "'new' AS name", "array(0) AS heavy"), "idx").filter("name = 'new'").first().idx == 2
+
+
+def small_class() -> bytes:
+    """class a/B extends java/lang/Object implements a/I { void m() { this.n(); } }, put together by hand."""
+    import struct
+
+    pool, index = [], {}
+
+    def utf(s):
+        return add(b"\x01" + struct.pack(">H", len(s)) + s.encode())
+
+    def add(raw):
+        if raw not in index:
+            pool.append(raw)
+            index[raw] = len(pool)
+        return index[raw]
+
+    def cls(s):
+        return add(b"\x07" + struct.pack(">H", utf(s)))
+
+    this, parent, iface = cls("a/B"), cls("java/lang/Object"), cls("a/I")
+    ref = add(b"\x0a" + struct.pack(">HH", this, add(b"\x0c" + struct.pack(">HH", utf("n"), utf("()V")))))
+    add(b"\x05" + struct.pack(">q", 7))
+    pool.append(None)
+    code = bytes([42, 182]) + struct.pack(">H", ref) + bytes([177])
+    body = struct.pack(">HHI", 1, 1, len(code)) + code + struct.pack(">HH", 0, 0)
+    method = struct.pack(">HHHH", 1, utf("m"), utf("()V"), 1) + struct.pack(">HI", utf("Code"), len(body)) + body
+    note = struct.pack(">HHH", 1, utf("La/Svc;"), 0)
+    tail = struct.pack(">HHHHHHH", 0x21, this, parent, 1, iface, 0, 1) + method + struct.pack(">H", 1) + struct.pack(">HI", utf("RuntimeVisibleAnnotations"), len(note)) + note
+    return struct.pack(">IHHH", 0xCAFEBABE, 0, 61, len(pool) + 1) + b"".join(p for p in pool if p) + tail
+
+
+def test_class_files(spark):
+    from quillgraph.sources import classfiles
+
+    df = spark.createDataFrame([("x.jar", "a/B.class", bytearray(small_class())), ("x.jar", "bad.class", bytearray(b"no")), ("x.jar", "t.txt", bytearray(b""))], "archive string, entry string, content binary")
+    rows = classfiles.facts(df).collect()
+    assert {(r["class"], r.kind, r.name, r.target) for r in rows} == {("a.B", "class", "a.B", ""), ("a.B", "method", "m", ""), ("a.B", "call", "m()V", "a.B#n()V"), ("bad.class", "error", "no class file", "")}
+    assert next((r.super, r.interfaces, r.annotations) for r in rows if r.kind == "class") == ("java.lang.Object", ["a.I"], ["a.Svc"])
