@@ -6,6 +6,9 @@ The short lists are those of the shingles that are rarest in a common order; a s
 a shuffle by document brings a document's short lists together, and merging them keeps the ids that occur ``c`` times. The long
 lists are never built: whether a candidate is in them is probed by binary search in the candidate's own sorted set.
 
+Before texts are read again for that, a pair must pass a bound that loses nothing: the counts of the two sets in 128 parts of
+the hash range differ by no more than the sets do.
+
 The common order comes from a sketch of fixed size that puts frequent shingles last; it changes the work, never the result.
 Two rounds: first every list is linked to its smallest member, and what is verified joins components; then the lists are
 searched in full, but only between different components. So a large group of near copies costs its size, not its square,
@@ -29,14 +32,14 @@ from pyspark.sql import functions as F
 
 from . import text_kernel as K
 from .components import components
-from .runtime import drop_table, narrowed, partitions, pieces, prepare, stored
+from .runtime import drop_table, narrowed, partitions, pieces, prepare, rows_kept, stored
 
 #: Buckets of the sketch (a power of two) and its segments.
 SKETCH_BITS, SEGMENTS = 20, 64
-#: Set size from which a candidate must be in two short lists.
-TWICE_FROM = 20
-#: Parts that a frequent shingle's list is dealt over in the first round.
-SPREAD = 16
+#: A candidate must be in one short list for every so many shingles of the smaller set, rounded up.
+PER_LIST = 32
+#: Parts of the hash range whose counts bound a distance from below; bits of the filter of wanted ids.
+SHAPE, WANTED_BITS = 128, 22
 
 
 def shingles(buf: np.ndarray, offs: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -120,12 +123,17 @@ def frequency_order(docs: DataFrame, words: int) -> np.ndarray:
     for r in merged:
         counts[r["segment"]] = K.get_varints(K.unpack(bytes(r["counts"]))[0])[0]
     counts = counts.ravel()
-    return np.clip(np.floor(4 * np.log2(np.maximum(counts / max(counts.mean(), 1e-9) / 4, 1))), 0, 255).astype(np.uint8)
+    return np.clip(np.floor(4 * np.log2(np.maximum(counts / max(counts.mean(), 1.0) / 4, 1))), 0, 255).astype(np.uint8)
+
+
+def required(n: np.ndarray) -> np.ndarray:
+    """In how many short lists of a set of ``n`` a partner that is not smaller must be."""
+    return -(-n // PER_LIST)
 
 
 def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     """How many short lists a set of ``n`` needs; none where only equal sets can link."""
-    length = n + percent * n // -100 + np.where(n >= TWICE_FROM, 2, 1)
+    length = n + percent * n // -100 + required(n)
     return np.where(100 * n >= percent * (n + 1), np.minimum(length, n), 0)
 
 
@@ -144,7 +152,10 @@ def _features(words: int, percent: int, order):
                 if t:
                     x.sort()
                 out.append(x[:t].tobytes())
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(n, pa.int32()), pa.array(s1), pa.array(s2), pa.array(out, pa.binary())], ["doc_id", "n", "s1", "s2", "short"])
+            where = np.repeat(np.arange(len(n)), n) * SHAPE + (flat >> np.uint64(57)).astype(np.int64)
+            shape = np.minimum(np.bincount(where, minlength=len(n) * SHAPE), 255).astype(np.uint8)
+            shapes = K.binary_array(shape, np.arange(len(n) + 1) * SHAPE)
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(n, pa.int32()), pa.array(s1), pa.array(s2), pa.array(out, pa.binary()), shapes], ["doc_id", "n", "s1", "s2", "short", "shape"])
 
     return run
 
@@ -233,15 +244,15 @@ def _across(percent: int):
     return run
 
 
-def divide_skip(lists: list[np.ndarray], t: int, long: int | None = None) -> np.ndarray:
-    """Ids that are in at least ``t`` of the sorted lists.
+def divide_skip(lists: list[np.ndarray], t: int, long: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids that are in at least ``t`` of the sorted lists, and in how many.
 
     The ``long`` longest lists are set apart (by default t / (0.01 * log2(longest) + 1)); the rest are merged, ids in at least
     t - long of them go on, and each is probed in the long lists by binary search.
     """
     lists = sorted((x for x in lists if len(x)), key=len)
     if len(lists) < t:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     if long is None:
         long = int(t / (0.01 * np.log2(max(len(lists[-1]), 2)) + 1))
     long = max(0, min(long, t - 1, len(lists) - 1))
@@ -252,26 +263,87 @@ def divide_skip(lists: list[np.ndarray], t: int, long: int | None = None) -> np.
     for x in lists[len(lists) - long :]:
         at = np.minimum(np.searchsorted(x, ids), len(x) - 1)
         seen = seen + (x[at] == ids)
-    return ids[seen >= t]
+    return ids[seen >= t], seen[seen >= t]
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A document's short lists merged: candidates that occur often enough."""
+    """A document's short lists merged: candidates that occur often enough. Smaller partners need fewer lists."""
     for cols, starts in runs(batches, "node"):
         left, right = [], []
         for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
             lists = [np.frombuffer(x, np.int64) for x in cols["ids"][a:b]]
-            sizes = [np.frombuffer(x, np.int64) for x in cols["sizes"][a:b]]
-            if cols["n"][a] < TWICE_FROM:
-                found = divide_skip([np.sort(x) for x in lists], 1)
-            else:
-                small = [x[s < TWICE_FROM] for x, s in zip(lists, sizes, strict=True)]
-                found = np.union1d(divide_skip([np.sort(x) for x in lists], 2), divide_skip([np.sort(x) for x in small], 1))
+            ids, size = np.concatenate(lists), np.concatenate([np.frombuffer(x, np.int64) for x in cols["sizes"][a:b]])
+            need = required(np.minimum(size, int(cols["n"][a])))
+            found, seen = divide_skip([np.sort(x) for x in lists], int(need.min()))
+            if len(found):
+                order = np.argsort(ids, kind="stable")
+                found = found[seen >= need[order][np.searchsorted(ids[order], found)]]
             left.append(np.full(len(found), cols["node"][a]))
             right.append(found)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right).astype(np.int64))], ["a", "b"])
 
 
+def _near(percent: int):
+    """Pairs whose shapes allow a link: the distance of the counts is at most that of the sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (K.buffer_of(b.column(c))[0].reshape(-1, SHAPE).astype(np.int16) for c in ("shape_a", "shape_b"))
+            total = b.column("n_a").to_numpy().astype(np.int64) + b.column("n_b").to_numpy()
+            keep = pa.array(np.abs(x - y).sum(axis=1) * (100 + percent) <= total * (100 - percent))
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], ["a", "b"])
+
+    return run
+
+
+def near(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The pairs that may link by the shapes of their sets. Loses none that does."""
+    of = lambda c: reps.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("shape").alias(f"shape_{c}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    return stored(both.select("a", "b", "n_a", "n_b", "shape_a", "shape_b").mapInArrow(_near(percent), "a long, b long"), "pairs")
+
+
+def _bits(ids: np.ndarray) -> np.ndarray:
+    return (K.mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - WANTED_BITS)).astype(np.int64)
+
+
+def _mark_wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    marks = np.zeros(1 << WANTED_BITS, bool)
+    for b in batches:
+        marks[_bits(b.column("doc_id").to_numpy())] = True
+    if marks.any():
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([K.pack(np.packbits(marks))], pa.binary())], ["part", "bits"])
+
+
+def _merge_wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    marks = None
+    for b in batches:
+        for x in b.column("bits").to_pylist():
+            m = K.unpack(x)[0]
+            marks = m.copy() if marks is None else marks | m
+    if marks is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([K.pack(marks)], pa.binary())], ["part", "bits"])
+
+
+def wanted(ids: DataFrame) -> np.ndarray:
+    """A filter of fixed size that holds all ``doc_id``: it spares texts that are not wanted the way to the join."""
+    n = min(64, partitions(ids.sparkSession))
+    schema = "part int, bits binary"
+    rows = ids.mapInArrow(_mark_wanted, schema).repartition(n).mapInArrow(_merge_wanted, schema).collect()  # 64 of fixed size
+    marks = np.zeros(1 << (WANTED_BITS - 3), np.uint8)
+    for r in rows:
+        marks |= K.unpack(bytes(r["bits"]))[0]
+    return marks
+
+
+def _wanted_rows(marks):
+    def mask(piece: pa.RecordBatch) -> pa.Array:
+        at = _bits(piece.column("doc_id").to_numpy())
+        return pa.array(np.unpackbits(np.frombuffer(marks.value, np.uint8))[at] > 0)
+
+    return mask
+
+
 def _set_rows(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text"):
@@ -303,8 +375,9 @@ def _probe(percent: int):
 def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs of classes whose sets, made anew from the texts of their representatives, link. Stored."""
     need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    owners = reps.select("node", "doc_id").join(need, "node", "left_semi")
-    texts = docs.filter("doc_id is not null").join(owners, "doc_id")
+    owners = stored(reps.select("node", "doc_id").join(need, "node", "left_semi"), "owners")
+    marks = docs.sparkSession.sparkContext.broadcast(wanted(owners.select("doc_id")).tobytes())  # half a MB, whatever the input
+    texts = rows_kept(docs.filter("doc_id is not null"), "text", _wanted_rows(marks)).join(owners, "doc_id")
     sets = stored(texts.select("node", "text").mapInArrow(_set_rows(words), "node long, shingles binary"), "sets")
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
@@ -319,21 +392,20 @@ def join(docs: DataFrame, *, words: int = 3, percent: int = 90, id_col: str = "d
     n = partitions(spark)
     docs = narrowed(docs, id_col, text_col)
     order = spark.sparkContext.broadcast(frequency_order(docs, words).tobytes())  # 1 MB, whatever the input
-    features = stored(docs.mapInArrow(_features(words, percent, order), "doc_id long, n int, s1 long, s2 long, short binary"), "features")
-    reps = features.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("doc_id"), F.first("short").alias("short")).withColumnRenamed("s1", "node")
+    features = stored(docs.mapInArrow(_features(words, percent, order), "doc_id long, n int, s1 long, s2 long, short binary, shape binary"), "features")
+    reps = features.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("doc_id"), F.first("short").alias("short"), F.first("shape").alias("shape")).withColumnRenamed("s1", "node")
     reps = stored(reps, "classes")
-    salt = F.when(F.shiftrightunsigned("token", 56) > 0, F.pmod("node", F.lit(SPREAD))).otherwise(F.lit(0))
     posted = reps.filter("doc_id is not null and octet_length(short) > 0").select("node", "n", "short").mapInArrow(_postings, "token long, node long, n int")
-    dealt = posted.repartition(n, "token", salt).sortWithinPartitions("token", "n", "node")
+    dealt = posted.repartition(n, "token").sortWithinPartitions("token", "n", "node")
     lists = stored(dealt.mapInArrow(_lists(percent), "token long, node long, n int, pivot long, pivot_n int"), "lists")
-    often = F.when(F.least("n", "pivot_n") < TWICE_FROM, 1).otherwise(2)
+    often = F.ceil(F.least("n", "pivot_n") / PER_LIST)
     first = lists.filter("pivot <> node").groupBy(F.col("pivot").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("c"), F.first(often).alias("t")).filter("c >= t").select("a", "b")
-    links = verified(stored(first, "pairs"), reps, docs, words, percent)
+    links = verified(near(first, reps, percent), reps, docs, words, percent)
     comps = components(links)
     tagged = lists.select("token", "node", "n").join(comps, "node", "left").select("token", "node", "n", F.coalesce("comp", "node").alias("comp"))
     across = tagged.repartition(n, "token").sortWithinPartitions("token", "n", "node").mapInArrow(_across(percent), "node long, n int, ids binary, sizes binary")
     second = across.repartition(n, "node").sortWithinPartitions("node").mapInArrow(_search, "a long, b long")
-    more = verified(stored(second.distinct(), "pairs"), reps, docs, words, percent)
+    more = verified(near(second.distinct(), reps, percent), reps, docs, words, percent)
     comps = stored(components(links.union(more)), "components")
     named = features.select("doc_id", "n", F.col("s1").alias("node")).join(comps, "node", "left").select("doc_id", "n", "node", F.coalesce("comp", "node").alias("comp"))
     smallest = reps.select("node", F.col("doc_id").alias("class_id")).join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
