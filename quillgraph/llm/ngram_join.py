@@ -10,8 +10,8 @@ Before texts are read again for that, a pair must pass a bound that loses nothin
 the hash range differ by no more than the sets do.
 
 The common order comes from a sketch of fixed size that puts frequent shingles last; it changes the work, never the result.
-Two rounds: first every list is linked to its smallest member, and what is verified joins components; then the lists are
-searched in full, but only between different components. So a large group of near copies costs its size, not its square,
+Two rounds: first every list's members are tried against a few pivots of the list, and what is verified joins components; then the
+lists are searched in full, but only between different components. So a large group of near copies costs its size, not its square,
 while no link between different components is lost.
 
 Sets: lower-cased words (A-Z only), distinct shingles of ``words`` words; a shorter text is one shingle, a text without words
@@ -38,6 +38,8 @@ from .runtime import drop_table, narrowed, partitions, pieces, prepare, rows_kep
 SKETCH_BITS, SEGMENTS = 20, 64
 #: A candidate must be in one short list for every so many shingles of the smaller set, rounded up.
 PER_LIST = 32
+#: Members from which a list has several pivots, and how many.
+LONG_LIST, PIVOTS = 12, 8
 #: Parts of the hash range whose counts bound a distance from below; bits of the filter of wanted ids.
 SHAPE, WANTED_BITS = 128, 22
 
@@ -187,7 +189,11 @@ def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[dict[str
 
 
 def _lists(percent: int):
-    """Lists of two or more, each member with the pivot it is tried against: the smallest set whose size allows a link."""
+    """Lists of two or more, each member with the pivots it is tried against and the lists that such a pair must share.
+
+    A short list has one pivot, its smallest set. A long one has several, those first by a hash of the document, so that all
+    lists of a group of near copies name the same ones. A pair is named once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols, starts in runs(batches, "token"):
@@ -199,24 +205,36 @@ def _lists(percent: int):
             node, n, token = cols["node"][keep], cols["n"][keep].astype(np.int64), cols["token"][keep]
             size = size[many]
             first = np.cumsum(size) - size
-            pivot = np.repeat(first, size)
-            far = 100 * n[pivot] < percent * n
-            if far.any():
-                for i in np.unique(pivot[far]).tolist():
-                    p = i
-                    for j in range(i, i + int(size[np.searchsorted(first, i)])):
-                        if 100 * n[p] < percent * n[j]:
-                            p = j
-                        pivot[j] = p
-            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(node), pa.array(n.astype(np.int32)), pa.array(node[pivot]), pa.array(n[pivot].astype(np.int32))], ["token", "node", "n", "pivot", "pivot_n"])
+            long = size >= LONG_LIST
+            member = np.flatnonzero(~np.repeat(long, size))
+            pairs = [np.stack([member, np.repeat(first, size)[member]])]
+            for a, m in zip(first[long].tolist(), size[long].tolist(), strict=True):
+                order = a + np.argsort(K.mix(node[a : a + m].view(np.uint64)), kind="stable")
+                for k in range(min(PIVOTS, m)):
+                    pairs.append(np.stack([order[k + 1 :], np.full(m - k - 1, order[k])]))
+            member, pivot = np.concatenate(pairs, axis=1)
+            low, high = np.minimum(n[member], n[pivot]), np.maximum(n[member], n[pivot])
+            fit = (member != pivot) & (100 * low >= percent * high)
+            member, pivot, low = member[fit], pivot[fit], low[fit]
+            order = np.argsort(member, kind="stable")
+            offs = np.searchsorted(member[order], np.arange(len(node) + 1)).astype(np.int32)
+            pivots = pa.ListArray.from_arrays(pa.array(offs), pa.array(node[pivot[order]]))
+            needs = pa.ListArray.from_arrays(pa.array(offs), pa.array(required(low[order]).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(node), pa.array(n.astype(np.int32)), pivots, needs], ["token", "node", "n", "pivots", "needs"])
 
     return run
 
 
+def _allowed(x: np.ndarray, y: np.ndarray, total: np.ndarray, percent: int) -> np.ndarray:
+    """Whether shapes allow a link: the distance of the counts is at most that of the sets."""
+    return np.abs(x - y).sum(axis=1) * (100 + percent) <= total * (100 - percent)
+
+
 def _across(percent: int):
     """For lists with several components: each document's partners in other components whose size allows a link.
 
-    A pair is named once, by the one outside the list's largest component, else by the smaller set.
+    A pair is named once, by the one outside the list's largest component, else by the smaller set; and only if the shapes of its
+    sets allow a link, which every list says alike.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,11 +248,13 @@ def _across(percent: int):
                 if len(names) < 2:
                     continue
                 main = names[counts.argmax()]
+                shape = np.frombuffer(b"".join(cols["shape"][a:b]), np.uint8).reshape(-1, SHAPE).astype(np.int16)
                 low = np.searchsorted(n, -(-percent * n // 100))
                 high = np.searchsorted(n, 100 * n // percent, side="right")
                 for i in np.flatnonzero(c != main).tolist():
                     at = np.arange(low[i], high[i])
                     at = at[(c[at] != c[i]) & ((c[at] == main) | (at > i))]
+                    at = at[_allowed(shape[at], shape[i], n[at] + n[i], percent)]
                     if len(at):
                         out.append((int(node[i]), int(n[i]), node[at].tobytes(), n[at].tobytes()))
             for k in range(0, len(out), 5000):
@@ -284,13 +304,13 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _near(percent: int):
-    """Pairs whose shapes allow a link: the distance of the counts is at most that of the sets."""
+    """Pairs whose shapes allow a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, y = (K.buffer_of(b.column(c))[0].reshape(-1, SHAPE).astype(np.int16) for c in ("shape_a", "shape_b"))
             total = b.column("n_a").to_numpy().astype(np.int64) + b.column("n_b").to_numpy()
-            keep = pa.array(np.abs(x - y).sum(axis=1) * (100 + percent) <= total * (100 - percent))
+            keep = pa.array(_allowed(x, y, total, percent))
             yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], ["a", "b"])
 
     return run
@@ -397,15 +417,16 @@ def join(docs: DataFrame, *, words: int = 3, percent: int = 90, id_col: str = "d
     reps = stored(reps, "classes")
     posted = reps.filter("doc_id is not null and octet_length(short) > 0").select("node", "n", "short").mapInArrow(_postings, "token long, node long, n int")
     dealt = posted.repartition(n, "token").sortWithinPartitions("token", "n", "node")
-    lists = stored(dealt.mapInArrow(_lists(percent), "token long, node long, n int, pivot long, pivot_n int"), "lists")
-    often = F.ceil(F.least("n", "pivot_n") / PER_LIST)
-    first = lists.filter("pivot <> node").groupBy(F.col("pivot").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("c"), F.first(often).alias("t")).filter("c >= t").select("a", "b")
+    lists = stored(dealt.mapInArrow(_lists(percent), "token long, node long, n int, pivots array<bigint>, needs array<int>"), "lists")
+    tried = lists.select("node", F.inline(F.arrays_zip("pivots", "needs"))).select(F.least("node", "pivots").alias("a"), F.greatest("node", "pivots").alias("b"), "needs")
+    first = tried.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("needs").alias("t")).filter("c >= t").select("a", "b")
     links = verified(near(first, reps, percent), reps, docs, words, percent)
     comps = components(links)
-    tagged = lists.select("token", "node", "n").join(comps, "node", "left").select("token", "node", "n", F.coalesce("comp", "node").alias("comp"))
+    known = reps.select("node", "shape").join(comps, "node", "left").select("node", "shape", F.coalesce("comp", "node").alias("comp"))
+    tagged = lists.select("token", "node", "n").join(known, "node")
     across = tagged.repartition(n, "token").sortWithinPartitions("token", "n", "node").mapInArrow(_across(percent), "node long, n int, ids binary, sizes binary")
     second = across.repartition(n, "node").sortWithinPartitions("node").mapInArrow(_search, "a long, b long")
-    more = verified(near(second.distinct(), reps, percent), reps, docs, words, percent)
+    more = verified(stored(second.distinct(), "pairs"), reps, docs, words, percent)
     comps = stored(components(links.union(more)), "components")
     named = features.select("doc_id", "n", F.col("s1").alias("node")).join(comps, "node", "left").select("doc_id", "n", "node", F.coalesce("comp", "node").alias("comp"))
     smallest = reps.select("node", F.col("doc_id").alias("class_id")).join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
