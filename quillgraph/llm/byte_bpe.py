@@ -109,9 +109,12 @@ def _exploder(buckets: int):
                 hs = np.sort(h)
                 distinct = hs[np.concatenate([[True], hs[1:] != hs[:-1]])]
                 key = (np.searchsorted(distinct, h).astype(np.uint64) << np.uint64(32)) | np.arange(len(h), dtype=np.uint64)
+                del h, hs
                 key.sort()
                 rank, pos = (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
+                del key
                 first = np.flatnonzero(np.concatenate([[True], rank[1:] != rank[:-1]]))
+                del rank
                 bucket = ((distinct >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
                 heavy = np.diff(np.append(first, len(pos))) > HEAVY_USES
                 bucket[heavy] = (bucket[heavy] + block * 7 + (block >> 32) * 13) % buckets
@@ -124,6 +127,7 @@ def _exploder(buckets: int):
                 gap[first[order]] = step
                 at, each = K.put_varints(gap)
                 at_cut = each[np.append(first, len(gap))]
+                del gap, each
                 for b in range(buckets):
                     mine = order[edge[b] : edge[b + 1]]
                     if len(mine):

@@ -199,8 +199,8 @@ def pretoken_starts(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     edge[offs] = True
     new = edge[:-1].copy()
     new[1:] |= cls[1:] != cls[:-1]
-    runs = np.flatnonzero(new)
-    ends = np.append(runs[1:], n)
+    runs = np.flatnonzero(new).astype(np.int32 if n < 2**31 - 1 else np.int64)
+    ends = np.append(runs[1:], runs.dtype.type(n))
     kind = cls[runs]
     joined = np.append(~edge[runs[1:]], False)  # the next run is of the same text
     flag = new
