@@ -33,6 +33,8 @@ from .runtime import drop_table, fresh_dir, narrowed, partitions, pieces, prepar
 
 #: Bytes of text that a counting task takes together.
 COUNT_BYTES = 16 << 20
+#: Bytes of text that are scored together.
+SCORE_BYTES = 4 << 20
 #: Hash of the end token.
 END = np.uint64(0x0123456789ABCDEF)
 _32 = np.uint64(32)
@@ -356,7 +358,7 @@ def log_probabilities(m: Model, before: np.ndarray, ids: np.ndarray, firsts: np.
     low = (firsts - wd[np.minimum(firsts, 3)]) / m.pairs + m.word_rest / (m.vocabulary + 1)
     both = (before >= 0) & (ids >= 0)
     key = (np.where(both, before, 0).astype(np.uint64) << _32) | np.where(both, ids, 0).astype(np.uint64)
-    distinct, back = np.unique(key, return_inverse=True)
+    distinct = tally(key)[0]
     count = np.zeros(len(distinct), np.int64)
     for s, i in _slices(_pair_shard(m, distinct), m.shards):
         try:
@@ -365,9 +367,9 @@ def log_probabilities(m: Model, before: np.ndarray, ids: np.ndarray, firsts: np.
             continue
         at = np.minimum(np.searchsorted(known, distinct[i]), len(known) - 1)
         count[i] = np.where(known[at] == distinct[i], store.get(m.folder, f"pair-count-{s}")[at], 0)
-    c = np.where(both, count[back], 0)
-    first, where = np.unique(before, return_inverse=True)
-    total, one, two, more = _first_stats(m, first)[:, where]
+    c = np.where(both, count[np.searchsorted(distinct, key)], 0)
+    first = tally(before)[0]
+    total, one, two, more = _first_stats(m, first)[:, np.searchsorted(first, before)]
     seen = total > 0
     total = np.maximum(total, 1)
     p = np.where(seen, (c - pd[np.minimum(c, 3)]) / total + (pd[1] * one + pd[2] * two + pd[3] * more) / total * low, low)
@@ -389,7 +391,7 @@ def score_piece(m: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.n
 
 def _scorer(m: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, "text"):
+        for piece in pieces(batches, "text", SCORE_BYTES):
             found = score_piece(m, piece.column("text"))
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("held"), *map(pa.array, found)], ["doc_id", "held", "n_tokens", "n_known", "base_score", "score"])
 
