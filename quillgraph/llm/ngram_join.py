@@ -40,6 +40,10 @@ SKETCH_BITS, SEGMENTS = 20, 64
 PER_LIST = 32
 #: Members from which a list has several pivots, and how many.
 LONG_LIST, PIVOTS = 12, 8
+#: So many of the largest components are told by their size when a pair between two components is named.
+LARGE = 1000
+#: Pairs of a list that a task holds before it hands them on.
+HELD = 1 << 18
 #: Parts of the hash range whose counts bound a distance from below; bits of the filter of wanted ids.
 SHAPE, WANTED_BITS = 128, 22
 
@@ -230,14 +234,34 @@ def _allowed(x: np.ndarray, y: np.ndarray, total: np.ndarray, percent: int) -> n
     return np.abs(x - y).sum(axis=1) * (100 + percent) <= total * (100 - percent)
 
 
-def _across(percent: int):
+def _turned(found: list[tuple[np.ndarray, int]], node: np.ndarray, n: np.ndarray) -> list[tuple[int, int, bytes, bytes]]:
+    """Pairs found from a member (the second) but named by the others: one row for each of these, with its partners."""
+    if not found:
+        return []
+    x, y = np.concatenate([at for at, _ in found]), np.repeat([i for _, i in found], [len(at) for at, _ in found])
+    order = np.argsort(x, kind="stable")
+    x, y = x[order], y[order]
+    edges = [*np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])).tolist(), len(x)]
+    return [(int(node[x[a]]), int(n[x[a]]), node[y[a:b]].tobytes(), n[y[a:b]].tobytes()) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
+def _named(out: list[tuple[int, int, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+    for k in range(0, len(out), 5000):
+        part = list(zip(*out[k : k + 5000], strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int64()), pa.array(part[1], pa.int32()), pa.array(part[2], pa.binary()), pa.array(part[3], pa.binary())], ["node", "n", "ids", "sizes"])
+
+
+def _across(percent: int, large):
     """For lists with several components: each document's partners in other components whose size allows a link.
 
-    A pair is named once, by the one outside the list's largest component, else by the smaller set; and only if the shapes of its
-    sets allow a link, which every list says alike.
+    Pairs are looked for from outside the list's largest component, but a pair has the same name in every list, as its lists are
+    counted under that: the one whose component comes later in ``large`` or is not in it, else the smaller set. A pair is named
+    only if the shapes of its sets allow a link, which every list says alike.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.array(large.value, np.int64)  # largest first
+        by_id = np.argsort(known, kind="stable")
         for cols, starts in runs(batches, "token"):
             comp = cols["comp"]
             mixed = np.add.reduceat(np.concatenate([[False], comp[1:] != comp[:-1]]).astype(np.int64), starts[:-1])
@@ -248,18 +272,32 @@ def _across(percent: int):
                 if len(names) < 2:
                     continue
                 main = names[counts.argmax()]
+                place = np.zeros(len(names), np.int64)
+                if len(known):
+                    at = by_id[np.minimum(np.searchsorted(known[by_id], names), len(known) - 1)]
+                    place = np.where(known[at] == names, len(known) - at, 0)
+                rank = place[np.searchsorted(names, c)] * len(c) + np.arange(len(c))
                 shape = np.frombuffer(b"".join(cols["shape"][a:b]), np.uint8).reshape(-1, SHAPE).astype(np.int16)
                 low = np.searchsorted(n, -(-percent * n // 100))
                 high = np.searchsorted(n, 100 * n // percent, side="right")
+                turned: list[tuple[np.ndarray, int]] = []
+                held = 0
                 for i in np.flatnonzero(c != main).tolist():
                     at = np.arange(low[i], high[i])
                     at = at[(c[at] != c[i]) & ((c[at] == main) | (at > i))]
                     at = at[_allowed(shape[at], shape[i], n[at] + n[i], percent)]
-                    if len(at):
-                        out.append((int(node[i]), int(n[i]), node[at].tobytes(), n[at].tobytes()))
-            for k in range(0, len(out), 5000):
-                part = list(zip(*out[k : k + 5000], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int64()), pa.array(part[1], pa.int32()), pa.array(part[2], pa.binary()), pa.array(part[3], pa.binary())], ["node", "n", "ids", "sizes"])
+                    mine = at[rank[at] > rank[i]]
+                    if len(mine):
+                        out.append((int(node[i]), int(n[i]), node[mine].tobytes(), n[mine].tobytes()))
+                    if len(mine) < len(at):
+                        turned.append((at[rank[at] < rank[i]], i))
+                    held += len(at)
+                    if held >= HELD:
+                        out += _turned(turned, node, n)
+                        yield from _named(out)
+                        turned, out, held = [], [], 0
+                out += _turned(turned, node, n)
+            yield from _named(out)
 
     return run
 
@@ -424,7 +462,9 @@ def join(docs: DataFrame, *, words: int = 3, percent: int = 90, id_col: str = "d
     comps = components(links)
     known = reps.select("node", "shape").join(comps, "node", "left").select("node", "shape", F.coalesce("comp", "node").alias("comp"))
     tagged = lists.select("token", "node", "n").join(known, "node")
-    across = tagged.repartition(n, "token").sortWithinPartitions("token", "n", "node").mapInArrow(_across(percent), "node long, n int, ids binary, sizes binary")
+    top = comps.groupBy("comp").count().orderBy(F.desc("count"), "comp").limit(LARGE).collect()  # of fixed size
+    large = spark.sparkContext.broadcast([r["comp"] for r in top])
+    across = tagged.repartition(n, "token").sortWithinPartitions("token", "n", "node").mapInArrow(_across(percent, large), "node long, n int, ids binary, sizes binary")
     second = across.repartition(n, "node").sortWithinPartitions("node").mapInArrow(_search, "a long, b long")
     more = verified(stored(second.distinct(), "pairs"), reps, docs, words, percent)
     comps = stored(components(links.union(more)), "components")

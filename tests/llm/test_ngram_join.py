@@ -1,10 +1,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quillgraph.llm import ngram_join as J
+from quillgraph.llm import text_kernel as K
 from quillgraph.llm.components import components
 
 
@@ -99,3 +101,16 @@ def test_deduplicated_keeps_one_of_each_group(spark):
     df = spark.createDataFrame([(3, "a b c d e f g", "x"), (1, "a b c d e f g", "y"), (5, "other words are in this one", "z"), (1, "a b c d e f g", "y")], "doc_id long, text string, source string")
     got = J.deduplicated(df, words=5, percent=80)
     assert got.columns == df.columns and sorted(r.doc_id for r in got.collect()) == [1, 5]
+
+
+def test_lists_of_a_pair_are_counted_together(spark):
+    """In one list of the pair (a, b) most members are with a, in the other with b; both lists are needed for the link."""
+    words = [f"w{i}" for i in range(40)]
+    buf, offs = K.buffer_of(pa.array(words, pa.string()))
+    h, _ = J.shingles(buf, offs, 1)
+    w = [words[i] for i in np.argsort(h)]
+    rare, a = w[:4], w[4:]
+    b = rare + a
+    sets = [a, [x for x in a if x != a[1]], b, [x for x in b if x != a[0]]]
+    df = spark.createDataFrame([(i, " ".join(s)) for i, s in enumerate(sets)], "doc_id long, text string")
+    assert [r.component_id for r in J.join(df, words=1, percent=90).collect()] == [0, 0, 0, 0]
