@@ -4,9 +4,10 @@ Base spans come from three patterns. The method adds spans by a battery of rando
 characters of ``A-Za-z0-9+/_=-`` that no base span touches gets an inferred encoding (16, 32 or 64 signs), and over it three
 scores: chi-squared uniformity of the alphabet (as a normal score, only its excess counts), runs above and below the middle,
 and serial correlation of neighbours. The sum of squares is small for random strings. How small an ordinary string of that
-length gets is learnt from the corpus: letter-only runs in one case, read with as many signs, are the null. False discoveries
-are held by the Benjamini-Hochberg rule within each encoding and band of lengths; a band's null also holds the shorter
-bands, which look more random, so the bound is on the safe side.
+length gets is a fixed reference, whatever the corpus: runs of words joined as names are, whose log scores have the mean and
+spread of REFERENCE at the shortest length of each band; longer ordinary runs look less random, so the bound is on the safe side.
+A string's p-value is the normal tail below its log score, with the spread widened by WIDER as that tail is heavier. False
+discoveries are held by the Benjamini-Hochberg rule within each encoding and band of lengths.
 
 Places are code points, end exclusive. Null and empty texts have no spans. Repeated rows give repeated results. Empty
 tables give empty results. Extra columns are not read.
@@ -14,6 +15,8 @@ tables give empty results. Extra columns are not read.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,9 +28,16 @@ ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # leftmost runs of AKIA[A-Z0-9]+ with 20 characters or more
 HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "random")
-#: Candidates of the battery and its false discovery rate; scores are kept in tenths up to a highest one.
-RUN, RATE, HIGHEST = r"[A-Za-z0-9+/_=-]{20,}", 0.01, 2000
+#: Candidates of the battery and its false discovery rate; normal scores are kept in hundredths from a lowest one to 0.
+RUN, RATE, LOWEST = r"[A-Za-z0-9+/_=-]{20,}", 0.01, -800
 ALPHABETS = {16: "0123456789abcdef", 32: "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 64: "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+#: Mean and spread of the log score of ordinary strings by signs and band (tests/llm/test_native.py makes them anew), and a factor on the spread.
+REFERENCE = {
+    16: ((1.522, 0.688), (1.68, 0.691), (1.911, 0.66), (2.095, 0.648), (2.335, 0.615), (2.563, 0.554), (2.821, 0.506), (3.063, 0.445), (3.286, 0.403), (3.532, 0.356), (3.761, 0.307), (3.967, 0.275), (4.17, 0.251)),
+    32: ((1.812, 0.69), (2.069, 0.675), (2.345, 0.632), (2.599, 0.588), (2.836, 0.534), (3.136, 0.468), (3.391, 0.424), (3.665, 0.372), (3.898, 0.342), (4.147, 0.297), (4.376, 0.264), (4.601, 0.235), (4.819, 0.215)),
+    64: ((2.588, 0.739), (2.907, 0.711), (3.237, 0.654), (3.531, 0.616), (3.781, 0.586), (4.086, 0.534), (4.356, 0.491), (4.6, 0.46), (4.847, 0.426), (5.082, 0.405), (5.315, 0.379), (5.525, 0.355), (5.741, 0.332)),
+}
+WIDER = 1.25
 SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
 
 
@@ -42,7 +52,7 @@ def _assigned(text: Column) -> Column:
 
 
 def score(values: Column, signs: int) -> Column:
-    """The battery over numbers 0..signs-1, in tenths: small means random."""
+    """The battery over numbers 0..signs-1: small means random."""
 
     def run(v: Column) -> Column:
         n = F.size(v).cast("double")
@@ -65,8 +75,7 @@ def score(values: Column, signs: int) -> Column:
         dev = F.aggregate(v, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean))
         lag = F.aggregate(F.zip_with(F.slice(v, 2, F.size(v)), F.slice(v, 1, F.size(v) - 1), lambda a, b: (a - mean) * (b - mean)), F.lit(0.0), lambda s, x: s + x)
         serial = F.when(dev == 0, F.lit(9.0)).otherwise(lag / dev * F.sqrt(n))
-        total = F.pow(F.greatest(chi, F.lit(0.0)), F.lit(2.0)) + runs * runs + serial * serial
-        return F.least(F.floor(total * 10.0), F.lit(HIGHEST)).cast("int")
+        return F.pow(F.greatest(chi, F.lit(0.0)), F.lit(2.0)) + runs * runs + serial * serial
 
     return let(values, run)
 
@@ -91,6 +100,13 @@ def _read(token: Column, signs: int) -> Column:
     return F.transform(_chars(plain), lambda c: F.greatest(F.instr(F.lit(ALPHABETS[signs]), c) - 1, F.lit(0)))
 
 
+def _normal(token: Column, signs: int) -> Column:
+    """The score of a token as a normal score among ordinary strings, in hundredths and rounded up."""
+    mean, spread = (F.element_at(F.array(*[F.lit(x[i]) for x in REFERENCE[signs]]), _band(token) + 1) for i in (0, 1))
+    z = F.ceil((F.log1p(score(_read(token, signs), signs)) - mean) / (spread * WIDER) * 100.0)
+    return F.greatest(F.least(z, F.lit(0)), F.lit(LOWEST)).cast("int")
+
+
 def _natural(token: Column) -> Column:
     return token.rlike("^([A-Za-z][a-z]+|[A-Z]+)$")
 
@@ -102,29 +118,26 @@ def found(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def _scored(src: DataFrame, *more: str) -> DataFrame:
-    """``base``, ``candidates`` and ``ordinary`` of a column ``text`` without nulls, besides other columns."""
+    """``base`` and ``candidates`` of a column ``text`` without nulls, besides other columns."""
     text = F.col("text")
     base = F.array_sort(F.concat(_kind(_assigned(text), 0), _kind(match_spans(text, ACCESS), 1), _kind(match_spans(text, HEX), 2)))
     spans = src.select(*more, base.alias("base"), match_spans(text, RUN).alias("runs"))
     free = F.filter("runs", lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
     split = spans.select(*more, "base", free.alias("runs"))
-    signed = F.transform(F.filter("runs", lambda r: ~_natural(r["match"])), lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), _signs(r["match"]).alias("signs"), _band(r["match"]).alias("band"), F.when(_signs(r["match"]) == 16, score(_read(r["match"], 16), 16)).when(_signs(r["match"]) == 32, score(_read(r["match"], 32), 32)).otherwise(score(_read(r["match"], 64), 64)).alias("score")))
-    as_null = lambda m, k: F.struct(F.lit(k).alias("signs"), _band(m).alias("band"), score(F.transform(_chars(m), lambda c: F.ascii(c) % k), k).alias("score"))
-    null = F.flatten(F.transform(F.filter("runs", lambda r: _natural(r["match"])), lambda r: F.array(*[as_null(r["match"], k) for k in ALPHABETS])))
-    return split.select(*more, "base", signed.alias("candidates"), null.alias("ordinary"))
+    signed = F.transform(F.filter("runs", lambda r: ~_natural(r["match"])), lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), _signs(r["match"]).alias("signs"), _band(r["match"]).alias("band"), F.coalesce(*[F.when(_signs(r["match"]) == k, _normal(r["match"], k)) for k in ALPHABETS]).alias("score")))
+    return split.select(*more, "base", signed.alias("candidates"))
 
 
 def cutoffs(scored: DataFrame, *, rate: float = RATE) -> DataFrame:
     """``signs, band, score``: the highest score that counts as random. Counts by score are bounded, whatever the corpus."""
-    tally = lambda c: scored.select(F.explode(c).alias("x")).groupBy("x.signs", "x.band", "x.score").agg(F.count("*").alias("n"))
-    ordinary = tally("ordinary").withColumn("band", F.explode(F.sequence("band", F.lit(12)))).groupBy("signs", "band", "score").agg(F.sum("n").alias("n0"))
-    both = tally("candidates").withColumnRenamed("n", "n1").join(ordinary, ["signs", "band", "score"], "full").fillna(0, ["n0", "n1"])
-    both.createOrReplaceTempView("_secret_scores")
+    tally = scored.select(F.explode("candidates").alias("x")).groupBy("x.signs", "x.band", "x.score").agg(F.count("*").alias("n"))
+    tally.createOrReplaceTempView("_secret_scores")
+    below = ", ".join(f"{math.erfc(-z / 100 / math.sqrt(2)) / 2!r}D" for z in range(LOWEST, 1))
     return scored.sparkSession.sql(f"""
         SELECT signs, band, max(score) AS score FROM (
-          SELECT signs, band, score, (1 + sum(n0) OVER w) / (1 + sum(n0) OVER f) AS p, sum(n1) OVER w AS at, sum(n1) OVER f AS total
+          SELECT signs, band, score, element_at(array({below}), score - {LOWEST} + 1) AS p, sum(n) OVER w AS at, sum(n) OVER f AS total
           FROM _secret_scores WINDOW w AS (PARTITION BY signs, band ORDER BY score ROWS UNBOUNDED PRECEDING), f AS (PARTITION BY signs, band))
-        WHERE at > 0 AND p <= {rate} * at / total GROUP BY signs, band""")
+        WHERE p <= {rate} * at / total GROUP BY signs, band""")
 
 
 def _text(spans: Column) -> Column:

@@ -178,6 +178,42 @@ def test_battery_finds_random_strings_among_ordinary_ones(spark):
     assert hits >= 0.8 * len(planted) and wrong <= 0.1 * hits
 
 
+def test_a_key_is_found_without_long_words_in_the_corpus(spark):
+    r = random.Random(3)
+    key = "".join(r.choice(secrets.ALPHABETS[64]) for _ in range(64))
+    words = [(i, "only short words are here and so on") for i in range(1, 30)]
+    out = secrets.report(spark.createDataFrame([(0, f"the key {key} of it"), *words, (30, "not a key: /usr/share/common/licenses/General_Public_License/version")], "doc_id long, text string"))
+    assert {x.doc_id: x.spans for x in out.collect() if x.spans} == {0: "random:8:72"}
+
+
+@pytest.mark.parametrize("signs", secrets.REFERENCE)
+def test_reference_of_the_battery(spark, signs):
+    """Words of the licence texts joined as names are have the log scores of the table."""
+    from pyspark.sql import functions as F
+
+    words = [w for ts in licenses.TEMPLATES.values() for t in ts for w in licenses.normal_words(t) if w.isalpha()]
+    r = random.Random(1)
+
+    def run(n):
+        style, t = r.randrange(4), ""
+        while len(t) < n + 12:
+            w = r.choice(words)
+            if signs in (16, 26):
+                t += w
+            elif signs == 32:
+                t += w.upper() + (str(r.randrange(2, 8)) if style == 0 and r.random() < 0.3 else "")
+            else:
+                t += [w.capitalize(), w + "/", w + "/", w.capitalize() + (str(r.randrange(100)) if r.random() < 0.3 else "")][style]
+        at = r.randrange(12)
+        return [ord(c) % 16 if signs == 16 else secrets.ALPHABETS[signs].index(c) for c in t[at : at + n]]
+
+    for band in (0, 4, 8, 12):
+        rows = [(run(math.ceil(20 * 2 ** (band / 4))),) for _ in range(1500)]
+        f = spark.createDataFrame(rows, "v array<int>").select(F.log1p(secrets.score(F.col("v"), signs)).alias("f"))
+        got = f.agg(F.mean("f"), F.stddev("f")).first()
+        assert all(abs(a - b) < 0.1 for a, b in zip(got, secrets.REFERENCE[signs][band], strict=True))
+
+
 def test_redaction(spark):
     texts = secret_texts()
     df = spark.createDataFrame([(i, t, len(t or ""), "s") for i, t in enumerate(texts)], "doc_id long, text string, n_chars long, base string")
