@@ -1,7 +1,8 @@
 """Secret scan over whole texts, in built-in functions only.
 
 Base spans come from three patterns. The method adds spans by a battery of randomness tests: every run of 20 or more
-characters of ``A-Za-z0-9+/_=-`` that no base span touches gets an inferred encoding (16, 32 or 64 signs), and over it three
+characters of ``A-Za-z0-9+/_=-`` is a candidate; of a run that base spans touch, what they leave, read as one string, if it has 20
+characters or more. It gets an inferred encoding (16, 26, 32 or 64 signs; letters in one case or capitalised have 26), and over it three
 scores: chi-squared uniformity of the alphabet (as a normal score, only its excess counts), runs above and below the middle,
 and serial correlation of neighbours. The sum of squares is small for random strings. How small an ordinary string of that
 length gets is a fixed reference, whatever the corpus: runs of words joined as names are, whose log scores have the mean and
@@ -30,10 +31,11 @@ HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "random")
 #: Candidates of the battery and its false discovery rate; normal scores are kept in hundredths from a lowest one to 0.
 RUN, RATE, LOWEST = r"[A-Za-z0-9+/_=-]{20,}", 0.01, -800
-ALPHABETS = {16: "0123456789abcdef", 32: "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 64: "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+ALPHABETS = {16: "0123456789abcdef", 26: "abcdefghijklmnopqrstuvwxyz", 32: "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 64: "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
 #: Mean and spread of the log score of ordinary strings by signs and band (tests/llm/test_native.py makes them anew), and a factor on the spread.
 REFERENCE = {
     16: ((1.522, 0.688), (1.68, 0.691), (1.911, 0.66), (2.095, 0.648), (2.335, 0.615), (2.563, 0.554), (2.821, 0.506), (3.063, 0.445), (3.286, 0.403), (3.532, 0.356), (3.761, 0.307), (3.967, 0.275), (4.17, 0.251)),
+    26: ((1.566, 0.689), (1.743, 0.687), (1.976, 0.658), (2.204, 0.627), (2.438, 0.596), (2.728, 0.541), (2.989, 0.471), (3.251, 0.416), (3.478, 0.365), (3.749, 0.317), (3.979, 0.281), (4.211, 0.253), (4.424, 0.227)),
     32: ((1.812, 0.69), (2.069, 0.675), (2.345, 0.632), (2.599, 0.588), (2.836, 0.534), (3.136, 0.468), (3.391, 0.424), (3.665, 0.372), (3.898, 0.342), (4.147, 0.297), (4.376, 0.264), (4.601, 0.235), (4.819, 0.215)),
     64: ((2.588, 0.739), (2.907, 0.711), (3.237, 0.654), (3.531, 0.616), (3.781, 0.586), (4.086, 0.534), (4.356, 0.491), (4.6, 0.46), (4.847, 0.426), (5.082, 0.405), (5.315, 0.379), (5.525, 0.355), (5.741, 0.332)),
 }
@@ -86,7 +88,7 @@ def _chars(token: Column) -> Column:
 
 def _signs(token: Column) -> Column:
     """Signs of the inferred encoding."""
-    return F.when(token.rlike("^([0-9a-f]+|[0-9A-F]+)=*$"), 16).when(token.rlike("^[A-Z2-7]+=*$"), 32).otherwise(64)
+    return F.when(token.rlike("^([0-9a-f]+|[0-9A-F]+)=*$"), 16).when(token.rlike("^([A-Za-z][a-z]+|[A-Z]+)=*$"), 26).when(token.rlike("^[A-Z2-7]+=*$"), 32).otherwise(64)
 
 
 def _band(token: Column) -> Column:
@@ -96,7 +98,7 @@ def _band(token: Column) -> Column:
 
 def _read(token: Column, signs: int) -> Column:
     """The signs of a token as numbers; padding is left out, ``-`` and ``_`` read as ``+`` and ``/``."""
-    plain = F.translate(F.lower(token) if signs == 16 else token, "-_=", "+/")
+    plain = F.translate(F.lower(token) if signs in (16, 26) else token, "-_=", "+/")
     return F.transform(_chars(plain), lambda c: F.greatest(F.instr(F.lit(ALPHABETS[signs]), c) - 1, F.lit(0)))
 
 
@@ -107,8 +109,17 @@ def _normal(token: Column, signs: int) -> Column:
     return F.greatest(F.least(z, F.lit(0)), F.lit(LOWEST)).cast("int")
 
 
-def _natural(token: Column) -> Column:
-    return token.rlike("^([A-Za-z][a-z]+|[A-Z]+)$")
+def _left(run: Column, base: Column) -> Column:
+    """A run as ``parts`` outside base spans and the ``match`` that they are together."""
+    none = F.struct(run["start"].alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("parts"))
+    part = lambda a, b: F.array(F.struct(a.alias("start"), b.alias("end")))
+    step = lambda s, b: F.struct(F.greatest(s["at"], b["end"]).alias("at"), F.when(b["start"] > s["at"], F.concat(s["parts"], part(s["at"], b["start"]))).otherwise(s["parts"]).alias("parts"))
+    last = lambda s: F.when(s["at"] < run["end"], F.concat(s["parts"], part(s["at"], run["end"]))).otherwise(s["parts"])
+    touched = F.filter(base, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
+    text = lambda parts: F.array_join(F.transform(parts, lambda x: F.substring(run["match"], (x["start"] - run["start"] + 1).cast("int"), (x["end"] - x["start"]).cast("int"))), "")
+    whole = F.struct(part(run["start"], run["end"]).alias("parts"), run["match"].alias("match"))
+    cut = let(F.aggregate(touched, none, step, last), lambda parts: F.struct(parts.alias("parts"), text(parts).alias("match")))
+    return F.when(F.size(touched) == 0, whole).otherwise(cut)
 
 
 def found(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -122,9 +133,9 @@ def _scored(src: DataFrame, *more: str) -> DataFrame:
     text = F.col("text")
     base = F.array_sort(F.concat(_kind(_assigned(text), 0), _kind(match_spans(text, ACCESS), 1), _kind(match_spans(text, HEX), 2)))
     spans = src.select(*more, base.alias("base"), match_spans(text, RUN).alias("runs"))
-    free = F.filter("runs", lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
+    free = F.filter(F.transform("runs", lambda r: _left(r, F.col("base"))), lambda r: F.char_length(r["match"]) >= 20)
     split = spans.select(*more, "base", free.alias("runs"))
-    signed = F.transform(F.filter("runs", lambda r: ~_natural(r["match"])), lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), _signs(r["match"]).alias("signs"), _band(r["match"]).alias("band"), F.coalesce(*[F.when(_signs(r["match"]) == k, _normal(r["match"], k)) for k in ALPHABETS]).alias("score")))
+    signed = F.transform("runs", lambda r: F.struct(r["parts"].alias("parts"), _signs(r["match"]).alias("signs"), _band(r["match"]).alias("band"), F.coalesce(*[F.when(_signs(r["match"]) == k, _normal(r["match"], k)) for k in ALPHABETS]).alias("score")))
     return split.select(*more, "base", signed.alias("candidates"))
 
 
@@ -146,14 +157,18 @@ def _text(spans: Column) -> Column:
 
 def _hit(scored: DataFrame, rate: float):
     """Whether a candidate counts as random."""
-    limits = {(r["signs"], r["band"]): r["score"] for r in cutoffs(scored, rate=rate).collect()}  # 3 encodings x 13 bands at most
+    limits = {(r["signs"], r["band"]): r["score"] for r in cutoffs(scored, rate=rate).collect()}  # 4 encodings x 13 bands at most
     return lambda c: F.coalesce(*[F.when((c["signs"] == k) & (c["band"] == b), c["score"] <= s) for (k, b), s in limits.items()], F.lit(False))
 
 
+def _parts(hits: Column) -> Column:
+    return F.flatten(F.transform(hits, lambda c: c["parts"]))
+
+
 def scan(docs: DataFrame, *, rate: float = RATE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``base`` and ``random`` spans as arrays of (start, kind, end)."""
     scored = stored(found(docs, id_col=id_col, text_col=text_col), "secrets")
-    return scored.select("doc_id", "base", _kind(F.filter("candidates", _hit(scored, rate)), 3).alias("random"))
+    return scored.select("doc_id", "base", _kind(_parts(F.filter("candidates", _hit(scored, rate))), 3).alias("random"))
 
 
 def redacted(docs: DataFrame, *, rate: float = RATE, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars", mark: str = "[SECRET]") -> DataFrame:
@@ -164,7 +179,7 @@ def redacted(docs: DataFrame, *, rate: float = RATE, id_col: str = "doc_id", tex
     where = docs.columns.index(text_col)
     src = docs.toDF(*names).withColumn("text", F.coalesce(F.col(names[where]), F.lit("")))
     both = _scored(src, *names, "text")
-    spans = F.array_sort(F.concat("base", _kind(F.filter("candidates", hit), 3)))
+    spans = F.array_sort(F.concat("base", _kind(_parts(F.filter("candidates", hit)), 3)))
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
     pair = lambda a, b: F.struct(a.alias("start"), b.alias("end"))
 

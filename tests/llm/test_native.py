@@ -186,6 +186,19 @@ def test_a_key_is_found_without_long_words_in_the_corpus(spark):
     assert {x.doc_id: x.spans for x in out.collect() if x.spans} == {0: "random:8:72"}
 
 
+def test_one_case_keys_and_the_rest_of_a_touched_run(spark):
+    r = random.Random(4)
+    sign = lambda signs, n: "".join(r.choice(signs) for _ in range(n))
+    lower, upper = sign("abcdefghijklmnopqrstuvwxyz", 160), sign("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 160)
+    head, tail = sign(secrets.ALPHABETS[64][:52], 39) + "Z", "Z" + sign(secrets.ALPHABETS[64][:52], 39)
+    texts = [f"é {lower} x", f"{upper}", f"é {head}{'0a1b2c3d4e5f' * 2}{tail} x", "the" + "information" * 12, "few words"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.spans for x in secrets.report(df).collect() if x.spans}
+    assert got == {0: "random:2:162", 1: "random:0:160", 2: "random:2:42,hex:42:66,random:66:106"}
+    masked = {x.doc_id: x.text for x in secrets.redacted(df, size_col=None).collect()}
+    assert masked[0] == "é [SECRET] x" and masked[1] == "[SECRET]" and not {head, tail} & set(re.findall("[A-Za-z]+", masked[2])) and masked[3] == texts[3]
+
+
 @pytest.mark.parametrize("signs", secrets.REFERENCE)
 def test_reference_of_the_battery(spark, signs):
     """Words of the licence texts joined as names are have the log scores of the table."""
