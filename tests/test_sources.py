@@ -2,7 +2,7 @@ import io
 import zipfile
 
 from quillgraph.functions import plsql
-from quillgraph.sources import stores
+from quillgraph.sources import facts, stores
 
 UNIT = """CREATE OR REPLACE PACKAGE BODY pkg_a AS
   CURSOR c_emp IS SELECT id FROM hr.emp e WHERE e.dept = 3;
@@ -108,3 +108,12 @@ def test_class_files(spark):
     rows = classfiles.facts(df).collect()
     assert {(r["class"], r.kind, r.name, r.target) for r in rows} == {("a.B", "class", "a.B", ""), ("a.B", "method", "m", ""), ("a.B", "call", "m()V", "a.B#n()V"), ("bad.class", "error", "no class file", "")}
     assert next((r.super, r.interfaces, r.annotations) for r in rows if r.kind == "class") == ("java.lang.Object", ["a.I"], ["a.Svc"])
+
+
+def test_views_hold_all_rows(spark):
+    sf = "/root/testdata/sf0.001"
+    n = {t: facts.load(spark, sf, t).count() for t in ("nation", "customer", "orders")}
+    assert facts.load(spark, sf, "edge_dag").count() == sum(n.values())
+    a = facts.load(spark, sf, "access")
+    b = a.selectExpr("proc AS p", "tbl AS t", "line AS l").distinct()
+    assert facts.load(spark, sf, "join_use").count() == a.join(b, (a["proc"] == b["p"]) & (a["line"] < b["l"])).count()
