@@ -53,9 +53,9 @@ def _(get):
     return get("call").filter(~F.col("callee").isin(*BUILTIN) & ~F.col("callee").like("dbms%")).groupBy("callee").agg(F.count("*").alias("n"))
 
 
-@query("wrapped_detect", "SELECT doc_id, regexp_matches(substring(text, 1, 300), '(?i)\\bwrapped\\b|\\b[0-9a-fA-F]{{8,}}\\b') AS wrapped FROM documents WHERE text NOT LIKE '%é%'")
+@query("wrapped_detect", "SELECT doc_id, regexp_matches(substring(text, 1, 300), '(?i)\\bwrapped\\b|\\b[0-9a-fA-F]{{8,}}\\b') AS wrapped FROM documents")
 def _(get):
-    return get("documents").filter(~F.col("text").like("%é%")).select("doc_id", C.wrapped(F.col("text")).alias("wrapped"))
+    return get("documents").select("doc_id", C.wrapped(F.col("text")).alias("wrapped"))
 
 
 @query("name_heuristic", "SELECT DISTINCT collection, length(collection) BETWEEN 4 AND 60 AND contains(collection, '_') AND regexp_matches(collection, '^[A-Z][A-Z0-9_]+$') AS likely FROM {usage}")

@@ -115,7 +115,7 @@ def trigger_timing(description: Column, type_name: Column) -> Column:
 
 def wrapped(source: Column) -> Column:
     """Wrapped source: the word, or a hexadecimal word of eight digits or more, near the start (any such number counts)."""
-    return F.substring(source, 1, 300).rlike(r"(?i)\bwrapped\b|\b[0-9a-fA-F]{8,}\b")
+    return F.substring(source, 1, 300).rlike(r"(?i)(?<![A-Za-z0-9_])(wrapped|[0-9a-f]{8,})(?![A-Za-z0-9_])")  # an ASCII word, whatever \b takes for one
 
 
 def likely_collection(name: Column) -> Column:

@@ -35,3 +35,12 @@ def test_against_sql(spark, duck, name):
 
 def test_queries_without_sql_are_the_known_ones():
     assert sorted(set(queries.QUERIES) - set(queries.ORACLE)) == ["greedy_clusters"]
+
+
+def test_wrapped_detect_has_a_row_for_every_document(spark, tmp_path):
+    texts = ["é wrapped", "wrappedé", "éwrapped", "ÉDEADBEEF1é", "xdeadbeef1", "é and unwrapped", "deadbee"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.wrapped for r in queries.QUERIES["wrapped_detect"](spark, str(tmp_path)).collect()}
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == dict(c.sql(queries.ORACLE["wrapped_detect"]).fetchall()) == dict(enumerate([True, True, True, True, False, False, False]))
