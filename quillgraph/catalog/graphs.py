@@ -79,7 +79,7 @@ def _(get):
     return G.closure(get("edge_cyc")).filter("src <> dst").select("src", "dst")
 
 
-FACTS = "SELECT concat('C', CAST(o_custkey AS VARCHAR(20))) AS node, o_orderpriority AS tbl FROM {orders} WHERE o_custkey % 10 = 0"
+FACTS = "SELECT concat('C', CAST(o_custkey AS VARCHAR(20))) AS node, o_orderpriority AS tbl FROM {orders}"
 
 
 @query("subtree_tables", f"""WITH RECURSIVE {DAG}, f AS ({FACTS}), n AS (SELECT src AS x FROM c UNION SELECT dst FROM c), b AS (SELECT src AS root, dst AS node FROM c WHERE src <> dst UNION ALL SELECT x, x FROM n)
@@ -125,7 +125,7 @@ def _(get):
     return G.path_tree(get("edge_dag"), roots(get), max_depth=3, max_children=3, max_nodes=2000).select("root", F.array_join("path", ">").alias("path"), "depth")
 
 
-EVIDENCE = "SELECT concat('O', CAST(o_orderkey AS VARCHAR(20))) AS node, CASE o_orderstatus WHEN 'F' THEN 'READ' WHEN 'O' THEN 'WRITE' ELSE 'COUNT' END AS op FROM {orders} WHERE o_orderkey % 20 = 0 UNION ALL SELECT concat('N', CAST(n_nationkey AS VARCHAR(20))), 'DELETE' FROM {nation} WHERE n_nationkey % 5 = 0"
+EVIDENCE = "SELECT concat('O', CAST(o_orderkey AS VARCHAR(20))) AS node, CASE o_orderstatus WHEN 'F' THEN 'READ' WHEN 'O' THEN 'WRITE' ELSE 'COUNT' END AS op FROM {orders} UNION ALL SELECT concat('N', CAST(n_nationkey AS VARCHAR(20))), 'DELETE' FROM {nation} WHERE n_nationkey % 5 = 0"
 
 
 @query("op_propagate", f"""WITH RECURSIVE ev AS ({EVIDENCE}), p(node, op) AS (SELECT node, op FROM ev UNION SELECT e.src, p.op FROM p JOIN {{edge_dag}} e ON e.dst = p.node WHERE e.src NOT IN (SELECT node FROM ev))

@@ -45,9 +45,9 @@ def _(get):
     return g.select("name", F.coalesce("a", "b", "c", F.lit("UNKNOWN")).alias("owner"))
 
 
-@query("cursor_table_antijoin", "SELECT DISTINCT tbl FROM {access} a WHERE op = 'SELECT' AND NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT p_brand FROM part WHERE p_size < 40 AND p_type = 'PROMO' AND p_partkey % 50 = 0) p WHERE p.p_brand = a.tbl)")
+@query("cursor_table_antijoin", "SELECT DISTINCT tbl FROM {access} a WHERE op = 'SELECT' AND NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT p_brand FROM part WHERE p_size < 40 AND p_type = 'PROMO' AND p_brand LIKE 'Brand#1%') p WHERE p.p_brand = a.tbl)")
 def _(get):
-    known = get("part").filter("p_size < 40 AND p_type = 'PROMO' AND p_partkey % 50 = 0").select(F.col("p_brand").alias("tbl"))
+    known = get("part").filter("p_size < 40 AND p_type = 'PROMO' AND p_brand LIKE 'Brand#1%'").select(F.col("p_brand").alias("tbl"))
     return get("access").filter("op = 'SELECT'").select("tbl").distinct().join(known, "tbl", "left_anti")
 
 
@@ -118,10 +118,10 @@ def _(get):
     return get("call").join(F.broadcast(table), "callee").groupBy("caller", "collection").agg(F.count("*").alias("n"))
 
 
-@query("named_query", "SELECT c.ord, t.sql FROM {call} c JOIN {sql_text} t ON t.id = c.line WHERE c.ord <= 500")
+@query("named_query", "SELECT c.ord, t.sql FROM {call} c JOIN {sql_text} t ON t.id = c.line")
 def _(get):
     t = get("sql_text").select(F.col("id").alias("line"), "sql")
-    return get("call").filter("ord <= 500").join(t, "line").select("ord", "sql")
+    return get("call").join(t, "line").select("ord", "sql")
 
 
 @query("placeholder_union", "SELECT id, FALSE AS placeholder FROM (SELECT DISTINCT src AS id FROM {edge_dag}) UNION ALL SELECT DISTINCT dst, TRUE FROM {edge_dag} WHERE dst NOT IN (SELECT src FROM {edge_dag})")

@@ -15,7 +15,7 @@ from ..registry import query, surface
 surface("sql_join_inner", "SELECT o_orderkey, c_name FROM {orders} JOIN {customer} ON o_custkey = c_custkey WHERE o_totalprice > 400000")
 surface("sql_join_left", "SELECT c_custkey, o_orderkey FROM {customer} LEFT JOIN (SELECT * FROM {orders} WHERE o_orderstatus = 'P') o ON o_custkey = c_custkey")
 surface("sql_join_right", "SELECT c_custkey, o_orderkey FROM (SELECT * FROM {orders} WHERE o_orderstatus = 'P') o RIGHT JOIN {customer} ON o_custkey = c_custkey")
-surface("sql_join_full", "SELECT s.s_suppkey AS s, c.c_custkey AS c FROM {supplier} s FULL OUTER JOIN (SELECT * FROM {customer} WHERE c_custkey % 3 = 0) c ON s.s_suppkey = c.c_custkey")
+surface("sql_join_full", "SELECT s.s_suppkey AS s, c.c_custkey AS c FROM {supplier} s FULL OUTER JOIN (SELECT * FROM {customer} WHERE c_acctbal > 5000) c ON s.s_suppkey = c.c_custkey")
 surface("sql_join_cross", "SELECT r_name, n_name FROM {region} CROSS JOIN {nation}")
 surface("sql_join_natural", "SELECT k, a, b FROM (SELECT n_nationkey AS k, n_name AS a FROM {nation}) x NATURAL JOIN (SELECT s_nationkey AS k, s_name AS b FROM {supplier}) y")
 surface("sql_join_theta", "SELECT a.n_name AS a, b.n_name AS b FROM {nation} a JOIN {nation} b ON a.n_nationkey < b.n_nationkey AND a.n_regionkey = b.n_regionkey")
@@ -48,9 +48,9 @@ surface("sql_set_minus", D.rewrite("SELECT c_nationkey AS k FROM {customer} MINU
 
 
 @query("sql_multiset", """SELECT k, array_to_string(list_sort(list_distinct(list_concat(a, b))), ',') AS u, array_to_string(list_sort(list_intersect(a, b)), ',') AS i, list_contains(a, 'view') AS has FROM (SELECT user_id % 20 AS k,
-    list(event_type) FILTER (event_id % 2 = 0 AND event_id < 300) AS a, list(event_type) FILTER (event_id % 2 = 1 AND event_id < 300) AS b FROM events WHERE event_id < 300 GROUP BY 1) WHERE a IS NOT NULL AND b IS NOT NULL""")
+    list(event_type) FILTER (event_id % 2 = 0) AS a, list(event_type) FILTER (event_id % 2 = 1) AS b FROM events GROUP BY 1) WHERE a IS NOT NULL AND b IS NOT NULL""")
 def _(get):
-    e = get("events").filter("event_id < 300").groupBy((F.col("user_id") % 20).alias("k")).agg(F.collect_list(F.when(F.col("event_id") % 2 == 0, F.col("event_type"))).alias("a"), F.collect_list(F.when(F.col("event_id") % 2 == 1, F.col("event_type"))).alias("b"))
+    e = get("events").groupBy((F.col("user_id") % 20).alias("k")).agg(F.collect_list(F.when(F.col("event_id") % 2 == 0, F.col("event_type"))).alias("a"), F.collect_list(F.when(F.col("event_id") % 2 == 1, F.col("event_type"))).alias("b"))
     e = e.filter("size(a) > 0 AND size(b) > 0")
     return e.select("k", F.array_join(F.sort_array(F.array_union("a", "b")), ",").alias("u"), F.array_join(F.sort_array(F.array_intersect("a", "b")), ",").alias("i"), F.array_contains("a", "view").alias("has"))
 
@@ -74,8 +74,8 @@ def _(get):
 # pivot and groups
 surface("sql_pivot", "SELECT * FROM (SELECT o_orderpriority AS p, o_orderstatus AS s, o_orderkey AS k FROM {orders}) PIVOT (count(k) FOR s IN ('F' AS n_f, 'O' AS n_o, 'P' AS n_p))",
         "SELECT o_orderpriority AS p, count(*) FILTER (o_orderstatus = 'F') AS n_f, count(*) FILTER (o_orderstatus = 'O') AS n_o, count(*) FILTER (o_orderstatus = 'P') AS n_p FROM orders GROUP BY 1")
-surface("sql_unpivot", "SELECT l_orderkey, kind, v FROM (SELECT l_orderkey, l_partkey, l_suppkey FROM {lineitem} WHERE l_orderkey < 50) UNPIVOT (v FOR kind IN (l_partkey, l_suppkey))",
-        "SELECT l_orderkey, 'l_partkey' AS kind, l_partkey AS v FROM lineitem WHERE l_orderkey < 50 UNION ALL SELECT l_orderkey, 'l_suppkey', l_suppkey FROM lineitem WHERE l_orderkey < 50")
+surface("sql_unpivot", "SELECT l_orderkey, kind, v FROM (SELECT l_orderkey, l_partkey, l_suppkey FROM {lineitem}) UNPIVOT (v FOR kind IN (l_partkey, l_suppkey))",
+        "SELECT l_orderkey, 'l_partkey' AS kind, l_partkey AS v FROM lineitem UNION ALL SELECT l_orderkey, 'l_suppkey', l_suppkey FROM lineitem")
 surface("sql_group_having", "SELECT l_suppkey, count(*) AS n, round(sum(l_extendedprice), 2) AS t FROM {lineitem} GROUP BY l_suppkey HAVING count(*) > 590")
 surface("sql_group_rollup", "SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(grouping(l_linestatus) AS INT) AS g FROM {lineitem} GROUP BY ROLLUP (l_returnflag, l_linestatus)")
 surface("sql_group_cube", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM {orders} GROUP BY CUBE (o_orderstatus, o_orderpriority)")

@@ -44,3 +44,10 @@ def test_wrapped_detect_has_a_row_for_every_document(spark, tmp_path):
     c = duckdb.connect()
     c.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
     assert got == dict(c.sql(queries.ORACLE["wrapped_detect"]).fetchall()) == dict(enumerate([True, True, True, True, False, False, False]))
+
+
+def test_queries_take_all_rows(spark):
+    n = lambda name: queries.QUERIES[name](spark, SF).count()
+    assert n("sql_unpivot") == 2 * facts.load(spark, SF, "lineitem").count()
+    assert n("named_query") == facts.load(spark, SF, "call").filter("line BETWEEN 1 AND 15").count()
+    assert queries.QUERIES["subtree_tables"](spark, SF).filter("root = 'C1'").count() == facts.load(spark, SF, "orders").filter("o_custkey = 1").select("o_orderpriority").distinct().count()
