@@ -27,16 +27,18 @@ def bfs(edges: DataFrame, roots: DataFrame, max_depth: int = 20) -> DataFrame:
     return seen
 
 
-def closure(edges: DataFrame, max_depth: int = 50) -> DataFrame:
-    """``src, dst, depth``: pairs that a path of one edge or more joins, with its least length."""
+def closure(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """``src, dst, depth``: pairs that a path of one edge or more joins (of ``max_depth`` at most, if given), with its least length."""
     edges = edges.select("src", "dst").distinct()
     seen = frontier = cut(edges.withColumn("depth", F.lit(1)))
-    for depth in range(2, max_depth + 1):
+    depth = 1
+    while max_depth is None or depth < max_depth:
+        depth += 1
         step = frontier.select("src", F.col("dst").alias("via")).join(edges.select(F.col("src").alias("via"), "dst"), "via").select("src", "dst").distinct()
         frontier = cut(step.join(seen.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
-        seen = seen.unionByName(frontier)
+        seen = cut(seen.unionByName(frontier)) if depth % 16 == 0 else seen.unionByName(frontier)
     return seen
 
 

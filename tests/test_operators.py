@@ -123,3 +123,8 @@ def test_stream_gives_what_the_batch_gives(spark, tmp_path):
     batch = {(r.start, r.event_type): (r.n, r.total) for r in windows.windowed(e, "1 hour", late=None).collect()}
     got = {(r.start, r.event_type): (r.n, r.total) for r in out.collect()}
     assert got and all(batch[k] == v for k, v in got.items()) and len(got) >= len(batch) - 5
+
+
+def test_a_cycle_longer_than_fifty_is_found(spark):
+    edges = spark.createDataFrame([(i, (i + 1) % 52) for i in range(52)], "src int, dst int").coalesce(1)
+    assert graph.in_cycle(edges).count() == 52
