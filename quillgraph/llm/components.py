@@ -1,7 +1,8 @@
 """Connected components of an undirected graph of links, by alternating large and small stars.
 
 Every round is two aggregations and two joins over the links; nothing is collected. Each round's links are a table in the
-shared folder, so that lost executors cost one round at most.
+shared folder, so that lost executors cost one round at most. A node with more than one in ``HUBS`` of all links would put them all
+into one task of a join; there are at most 2 * HUBS such nodes, so their minimum goes out by broadcast and their links stay where they are.
 """
 
 from __future__ import annotations
@@ -11,22 +12,32 @@ from pyspark.sql import functions as F
 
 from .runtime import drop_table, stored
 
+HUBS = 1000
+
 
 def _mark(edges: DataFrame) -> tuple:
     r = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
     return r["n"], r["h"]
 
 
+def _with_least(links: DataFrame, n: int) -> DataFrame:
+    """``links(u, v)`` of at most ``n`` rows with ``m``, the least ``v`` of each ``u``."""
+    low = links.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n"))
+    hubs = low.filter(F.col("_n") * HUBS > n).select("u", "m")
+    tagged = links.join(F.broadcast(hubs.withColumnRenamed("m", "hub")), "u", "left")
+    rest = tagged.filter("hub is null").select("u", "v").join(low.filter(F.col("_n") * HUBS <= n).select("u", "m"), "u")
+    return rest.unionByName(tagged.filter("hub is not null").select("u", "v", F.col("hub").alias("m")))
+
+
 def components(links: DataFrame) -> DataFrame:
-    """``node, comp`` for every node of ``links(a, b)``: comp is the smallest node that can be reached."""
+    """``node, comp`` for every node of ``links(a, b)``: comp is the smallest node that can be reached. Stored. A link of a node to itself
+    says nothing; no links, no rows."""
     edges = stored(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     mark = _mark(edges)
-    while True:
+    while mark[0]:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        large = _with_least(both, mark[0]).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        small = _with_least(large, mark[0]).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         new = stored(small.filter("u <> v").distinct(), "links")
         new_mark = _mark(new)
         drop_table(edges)
@@ -35,4 +46,6 @@ def components(links: DataFrame) -> DataFrame:
             break
         mark = new_mark
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(roots)
+    out = stored(edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(roots), "components")
+    drop_table(edges)
+    return out

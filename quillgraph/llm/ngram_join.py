@@ -12,12 +12,17 @@ the hash range differ by no more than the sets do.
 The common order comes from a sketch of fixed size that puts frequent shingles last; it changes the work, never the result.
 Two rounds: first every list's members are tried against a few pivots of the list, and what is verified joins components; then the
 lists are searched in full, but only between different components. So a large group of near copies costs its size, not its square,
-while no link between different components is lost.
+while no link between different components is lost. Lists within one component are left out before shapes are fetched.
+
+No task gets a whole long list. A list longer than ``LONG_SHARE`` of all entries (and HEAVY) has its pivots from an aggregation, and its
+members meet them by a broadcast whose size those two bound. In the second round a list is dealt in parts of ``PART``
+members, and each pair of parts is searched by a task of its own.
 
 Sets: lower-cased words (A-Z only), distinct shingles of ``words`` words; a shorter text is one shingle, a text without words
 has none and links with nothing. Null texts are empty. A row without id has a set but no links, and its component is that of an
 equal set if one has an id. Repeated rows and ids are rows of their own with one class. Ties (a similarity exactly at the
-limit) link. Empty tables give empty results. Extra columns are not read.
+limit) link. A very long text is one set like any other, made in one piece by one task, in memory of the order of the text.
+Empty tables give empty results. Extra columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,13 +31,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text_kernel as K
 from .components import components
-from .runtime import drop_table, narrowed, partitions, pieces, prepare, rows_kept, stored
+from .members import only, renamed, without
+from .runtime import drop_table, narrowed, partitions, pieces, prepare, stored
 
 #: Buckets of the sketch (a power of two) and its segments.
 SKETCH_BITS, SEGMENTS = 20, 64
@@ -42,10 +47,13 @@ PER_LIST = 32
 LONG_LIST, PIVOTS = 12, 8
 #: So many of the largest components are told by their size when a pair between two components is named.
 LARGE = 1000
+ENTRY = "token long, node long, n int"
 #: Pairs of a list that a task holds before it hands them on.
 HELD = 1 << 18
-#: Parts of the hash range whose counts bound a distance from below; bits of the filter of wanted ids.
-SHAPE, WANTED_BITS = 128, 22
+#: Parts of the hash range whose counts bound a distance from below.
+SHAPE = 128
+#: A list is long for a task from so many entries, if that is also more than one entry in LONG_SHARE; members of a part of a list.
+HEAVY, LONG_SHARE, PART = 20_000, 4096, 10_000
 
 
 def shingles(buf: np.ndarray, offs: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -161,20 +169,29 @@ def _features(words: int, percent: int, order):
             where = np.repeat(np.arange(len(n)), n) * SHAPE + (flat >> np.uint64(57)).astype(np.int64)
             shape = np.minimum(np.bincount(where, minlength=len(n) * SHAPE), 255).astype(np.uint8)
             shapes = K.binary_array(shape, np.arange(len(n) + 1) * SHAPE)
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(n, pa.int32()), pa.array(s1), pa.array(s2), pa.array(out, pa.binary()), shapes], ["doc_id", "n", "s1", "s2", "short", "shape"])
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("h"), pa.array(n, pa.int32()), pa.array(s1), pa.array(s2), pa.array(out, pa.binary()), shapes], ["doc_id", "h", "n", "s1", "s2", "short", "shape"])
 
     return run
 
 
-def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        data, offs = K.buffer_of(b.column("short"))
-        size = np.diff(offs) // 8
-        rows = pa.RecordBatch.from_arrays([pa.array(data.view(np.int64)), pa.array(np.repeat(b.column("node").to_numpy(), size)), pa.array(np.repeat(b.column("n").to_numpy(), size))], ["token", "node", "n"])
-        yield from (rows.slice(i, 100_000) for i in range(0, rows.num_rows, 100_000))
+def _postings(frequent: bool = False):
+    """Entries of the short lists; those alone whose token is in a bucket that the common order calls frequent (its top byte)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, offs = K.buffer_of(b.column("short"))
+            size = np.diff(offs) // 8
+            token, node, n = data.view(np.int64), np.repeat(b.column("node").to_numpy(), size), np.repeat(b.column("n").to_numpy(), size)
+            if frequent:
+                mine = token.view(np.uint64) >> np.uint64(56) > 0
+                token, node, n = token[mine], node[mine], n[mine]
+            rows = pa.RecordBatch.from_arrays([pa.array(token), pa.array(node), pa.array(n)], ["token", "node", "n"])
+            yield from (rows.slice(i, 100_000) for i in range(0, rows.num_rows, 100_000))
+
+    return run
 
 
-def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
+def runs(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
     """Sorted batches as columns with the starts of runs of equal keys (and a last entry); no run is cut."""
     held: dict[str, np.ndarray] = {}
     for b in batches:
@@ -182,14 +199,16 @@ def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[dict[str
             continue
         cols = {c: b.column(c).to_numpy(zero_copy_only=False) for c in b.schema.names}
         cols = {c: np.concatenate([held[c], x]) if held else x for c, x in cols.items()}
-        k = cols[key]
-        starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        new = cols[keys[0]][1:] != cols[keys[0]][:-1]
+        for k in keys[1:]:
+            new |= cols[k][1:] != cols[k][:-1]
+        starts = np.flatnonzero(np.concatenate([[True], new]))
         last = starts[-1]
         held = {c: x[last:] for c, x in cols.items()}
         if last:
             yield {c: x[:last] for c, x in cols.items()}, starts
     if held:
-        yield held, np.array([0, len(held[key])])
+        yield held, np.array([0, len(held[keys[0]])])
 
 
 def _lists(percent: int):
@@ -252,7 +271,8 @@ def _named(out: list[tuple[int, int, bytes, bytes]]) -> Iterator[pa.RecordBatch]
 
 
 def _across(percent: int, large):
-    """For lists with several components: each document's partners in other components whose size allows a link.
+    """For lists with several components, or pairs of parts of them (then ``side`` is 1 or 2): each document's partners in other
+    components, and on the other side, whose size allows a link.
 
     Pairs are looked for from outside the list's largest component, but a pair has the same name in every list, as its lists are
     counted under that: the one whose component comes later in ``large`` or is not in it, else the smaller set. A pair is named
@@ -262,12 +282,12 @@ def _across(percent: int, large):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.array(large.value, np.int64)  # largest first
         by_id = np.argsort(known, kind="stable")
-        for cols, starts in runs(batches, "token"):
+        for cols, starts in runs(batches, "token", "low", "high"):
             comp = cols["comp"]
             mixed = np.add.reduceat(np.concatenate([[False], comp[1:] != comp[:-1]]).astype(np.int64), starts[:-1])
             out: list[tuple[int, int, bytes, bytes]] = []
             for a, b in zip(starts[:-1][mixed > 0].tolist(), starts[1:][mixed > 0].tolist(), strict=True):
-                c, node, n = comp[a:b], cols["node"][a:b], cols["n"][a:b].astype(np.int64)
+                c, node, n, side = comp[a:b], cols["node"][a:b], cols["n"][a:b].astype(np.int64), cols["side"][a:b]
                 names, counts = np.unique(c, return_counts=True)
                 if len(names) < 2:
                     continue
@@ -284,7 +304,7 @@ def _across(percent: int, large):
                 held = 0
                 for i in np.flatnonzero(c != main).tolist():
                     at = np.arange(low[i], high[i])
-                    at = at[(c[at] != c[i]) & ((c[at] == main) | (at > i))]
+                    at = at[(c[at] != c[i]) & ((c[at] == main) | (at > i)) & ((side[at] != side[i]) | (side[i] == 0))]
                     at = at[_allowed(shape[at], shape[i], n[at] + n[i], percent)]
                     mine = at[rank[at] > rank[i]]
                     if len(mine):
@@ -361,55 +381,14 @@ def near(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return stored(both.select("a", "b", "n_a", "n_b", "shape_a", "shape_b").mapInArrow(_near(percent), "a long, b long"), "pairs")
 
 
-def _bits(ids: np.ndarray) -> np.ndarray:
-    return (K.mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - WANTED_BITS)).astype(np.int64)
-
-
-def _mark_wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    marks = np.zeros(1 << WANTED_BITS, bool)
-    for b in batches:
-        marks[_bits(b.column("doc_id").to_numpy())] = True
-    if marks.any():
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([K.pack(np.packbits(marks))], pa.binary())], ["part", "bits"])
-
-
-def _merge_wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    marks = None
-    for b in batches:
-        for x in b.column("bits").to_pylist():
-            m = K.unpack(x)[0]
-            marks = m.copy() if marks is None else marks | m
-    if marks is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([K.pack(marks)], pa.binary())], ["part", "bits"])
-
-
-def wanted(ids: DataFrame) -> np.ndarray:
-    """A filter of fixed size that holds all ``doc_id``: it spares texts that are not wanted the way to the join."""
-    n = min(64, partitions(ids.sparkSession))
-    schema = "part int, bits binary"
-    rows = ids.mapInArrow(_mark_wanted, schema).repartition(n).mapInArrow(_merge_wanted, schema).collect()  # 64 of fixed size
-    marks = np.zeros(1 << (WANTED_BITS - 3), np.uint8)
-    for r in rows:
-        marks |= K.unpack(bytes(r["bits"]))[0]
-    return marks
-
-
-def _wanted_rows(marks):
-    def mask(piece: pa.RecordBatch) -> pa.Array:
-        at = _bits(piece.column("doc_id").to_numpy())
-        return pa.array(np.unpackbits(np.frombuffer(marks.value, np.uint8))[at] > 0)
-
-    return mask
-
-
 def _set_rows(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text"):
             flat, cuts = distinct_sets(*shingles(*K.buffer_of(piece.column("text")), words))
-            s1, _ = signatures(flat, cuts)
-            mine = np.flatnonzero(s1 == piece.column("node").to_numpy())
+            s1, s2 = signatures(flat, cuts)
+            mine = np.flatnonzero((s1 == piece.column("s1").to_numpy()) & (s2 == piece.column("s2").to_numpy()))
             data = [flat[cuts[i] : cuts[i + 1]].tobytes() for i in mine.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(s1[mine]), pa.array(data, pa.binary())], ["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([piece.column("node").take(pa.array(mine)), pa.array(data, pa.binary())], ["node", "shingles"])
 
     return run
 
@@ -433,60 +412,133 @@ def _probe(percent: int):
 def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs of classes whose sets, made anew from the texts of their representatives, link. Stored."""
     need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    owners = stored(reps.select("node", "doc_id").join(need, "node", "left_semi"), "owners")
-    marks = docs.sparkSession.sparkContext.broadcast(wanted(owners.select("doc_id")).tobytes())  # half a MB, whatever the input
-    texts = rows_kept(docs.filter("doc_id is not null"), "text", _wanted_rows(marks)).join(owners, "doc_id")
-    sets = stored(texts.select("node", "text").mapInArrow(_set_rows(words), "node long, shingles binary"), "sets")
+    owners = stored(reps.select("node", "doc_id", "s1", "s2").join(need, "node", "left_semi"), "owners")
+    texts = only(docs.filter("doc_id is not null").select("doc_id", "text"), ["doc_id"], owners)
+    made = texts.select("node", "s1", "s2", "text").mapInArrow(_set_rows(words), "node long, shingles binary")
+    sets = stored(made.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")  # one of repeated rows
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-    links = stored(both.select("a", "b", "sa", "sb").mapInArrow(_probe(percent), "a long, b long").distinct(), "verified")
+    links = stored(both.select("a", "b", "sa", "sb").mapInArrow(_probe(percent), "a long, b long"), "verified")
     drop_table(sets)
+    drop_table(owners)
     return links
 
 
-def join(docs: DataFrame, *, words: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id, class_id``: the smallest id that links reach, and the smallest id with an equal set."""
+def classes(features: DataFrame) -> DataFrame:
+    """One row for each set, with its least id and a 64-bit name: its first signature, or where sets share that (a few at 10**10 sets),
+    a hash of both. Stored."""
+    sets = features.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("doc_id"), F.first("short").alias("short"), F.first("shape").alias("shape"))
+    sets = stored(sets, "classes")
+    shared = stored(sets.groupBy("s1").agg(F.count("*").alias("c")).filter("c > 1").select("s1", F.lit(True).alias("shared")), "shared")
+    if shared.isEmpty():
+        drop_table(shared)
+        return sets.withColumn("node", F.col("s1"))
+    return sets.join(shared, "s1", "left").withColumn("node", F.when(F.col("shared"), F.xxhash64("s1", "s2", "n")).otherwise(F.col("s1"))).drop("shared")
+
+
+def _long_lists(short: DataFrame) -> DataFrame | None:
+    """Tokens whose lists are long, with up to PIVOTS pivots, those first by a hash; at most LONG_SHARE tokens, or None for none.
+    Only a token in a frequent bucket can have one."""
+    entries = short.agg(F.coalesce(F.sum(F.octet_length("short") / 8), F.lit(0)).cast("long")).first()[0]
+    posted = short.mapInArrow(_postings(True), ENTRY)
+    counts = stored(posted.groupBy("token").agg(F.count("*").alias("c")).filter(F.col("c") > max(HEAVY, entries // LONG_SHARE)).select("token"), "long")
+    if counts.isEmpty():
+        drop_table(counts)
+        return None
+    h = F.xxhash64("node")
+    best = posted.join(F.broadcast(counts), "token").groupBy("token", F.pmod(h, F.lit(PIVOTS)).alias("k")).agg(F.min_by(F.struct("node", "n"), h).alias("p"))
+    out = stored(best.groupBy("token").agg(F.sort_array(F.collect_list("p")).alias("p")), "long")
+    drop_table(counts)
+    return out
+
+
+def _tries(short: DataFrame, percent: int, n: int) -> DataFrame:
+    """``token, node, n, pivots, needs`` of the members of lists of two or more. Stored."""
+    posted, long = short.mapInArrow(_postings(), ENTRY), _long_lists(short)
+    schema = f"{ENTRY}, pivots array<bigint>, needs array<int>"
+    light = posted if long is None else posted.join(F.broadcast(long.select("token")), "token", "left_anti")
+    lists = light.repartition(n, "token").sortWithinPartitions("token", "n", "node").mapInArrow(_lists(percent), schema)
+    if long is None:
+        return stored(lists, "lists")
+    fits = lambda p: (p["node"] != F.col("node")) & (F.least(p["n"], F.col("n")) * 100 >= F.greatest(p["n"], F.col("n")) * percent)
+    mine = short.mapInArrow(_postings(True), ENTRY).join(F.broadcast(long), "token").withColumn("p", F.filter("p", fits))  # LONG_SHARE * PIVOTS pivots at most
+    need = F.transform("p", lambda p: F.ceil(F.least(p["n"], F.col("n")) / F.lit(PER_LIST)).cast("int"))
+    out = stored(lists.unionByName(mine.select("token", "node", "n", F.transform("p", lambda p: p["node"]).alias("pivots"), need.alias("needs"))), "lists")
+    drop_table(long)
+    return out
+
+
+def _blocks(lists: DataFrame, comps: DataFrame, reps: DataFrame) -> DataFrame:
+    """The members of lists with several components, once for each pair of parts that they are in, with shapes."""
+    tagged = lists.select("token", "node", "n").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    mixed = tagged.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("c")).filter("x <> y").select("token", F.ceil(F.col("c") / PART).cast("int").alias("parts"))
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    block = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least(q, "part").alias("low"), F.greatest(q, "part").alias("high"), F.when(q == F.col("part"), 0).when(F.col("part") < q, 1).otherwise(2).alias("side")))
+    wide = tagged.join(mixed, "token").withColumn("part", own).select("token", "node", "n", "comp", F.inline(block))
+    return wide.join(reps.select("node", "shape"), "node")
+
+
+def _linked(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of ``docs(doc_id, text)``: features with ``node`` for every row, the classes, and the components of nodes with links."""
     spark = prepare(docs.sparkSession)
     n = partitions(spark)
-    docs = narrowed(docs, id_col, text_col)
     order = spark.sparkContext.broadcast(frequency_order(docs, words).tobytes())  # 1 MB, whatever the input
-    features = stored(docs.mapInArrow(_features(words, percent, order), "doc_id long, n int, s1 long, s2 long, short binary, shape binary"), "features")
-    reps = features.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("doc_id"), F.first("short").alias("short"), F.first("shape").alias("shape")).withColumnRenamed("s1", "node")
-    reps = stored(reps, "classes")
-    posted = reps.filter("doc_id is not null and octet_length(short) > 0").select("node", "n", "short").mapInArrow(_postings, "token long, node long, n int")
-    dealt = posted.repartition(n, "token").sortWithinPartitions("token", "n", "node")
-    lists = stored(dealt.mapInArrow(_lists(percent), "token long, node long, n int, pivots array<bigint>, needs array<int>"), "lists")
+    src = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    features = stored(src.mapInArrow(_features(words, percent, order), "doc_id long, h long, n int, s1 long, s2 long, short binary, shape binary"), "features")
+    reps = classes(features)
+    lists = _tries(reps.filter("doc_id is not null and octet_length(short) > 0").select("node", "n", "short"), percent, n)
     tried = lists.select("node", F.inline(F.arrays_zip("pivots", "needs"))).select(F.least("node", "pivots").alias("a"), F.greatest("node", "pivots").alias("b"), "needs")
     first = tried.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("needs").alias("t")).filter("c >= t").select("a", "b")
-    links = verified(near(first, reps, percent), reps, docs, words, percent)
+    pairs = near(first, reps, percent)
+    links = verified(pairs, reps, docs, words, percent)
     comps = components(links)
-    known = reps.select("node", "shape").join(comps, "node", "left").select("node", "shape", F.coalesce("comp", "node").alias("comp"))
-    tagged = lists.select("token", "node", "n").join(known, "node")
     top = comps.groupBy("comp").count().orderBy(F.desc("count"), "comp").limit(LARGE).collect()  # of fixed size
     large = spark.sparkContext.broadcast([r["comp"] for r in top])
-    across = tagged.repartition(n, "token").sortWithinPartitions("token", "n", "node").mapInArrow(_across(percent, large), "node long, n int, ids binary, sizes binary")
-    second = across.repartition(n, "node").sortWithinPartitions("node").mapInArrow(_search, "a long, b long")
-    more = verified(stored(second.distinct(), "pairs"), reps, docs, words, percent)
-    comps = stored(components(links.union(more)), "components")
-    named = features.select("doc_id", "n", F.col("s1").alias("node")).join(comps, "node", "left").select("doc_id", "n", "node", F.coalesce("comp", "node").alias("comp"))
+    across = _blocks(lists, comps, reps).repartition(n, "token", "low", "high").sortWithinPartitions("token", "low", "high", "n", "node").mapInArrow(_across(percent, large), "node long, n int, ids binary, sizes binary")
+    second = stored(across.repartition(n, "node").sortWithinPartitions("node").mapInArrow(_search, "a long, b long").distinct(), "pairs")
+    more = verified(second, reps, docs, words, percent)
+    for done in (lists, pairs, second, comps):
+        drop_table(done)
+    comps = components(links.union(more))
+    for done in (links, more):
+        drop_table(done)
+    rows, shared = features.select("doc_id", "h", "n", "s1", "s2"), reps.filter("node <> s1").select("n", "s1", "s2", "node")
+    if shared.isEmpty():
+        return rows.withColumn("node", F.col("s1")), reps, comps
+    return rows.join(shared, ["n", "s1", "s2"], "left").withColumn("node", F.coalesce("node", "s1")), reps, comps
+
+
+def join(docs: DataFrame, *, words: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_shingles, component_id, class_id``: the smallest id that links reach, and the smallest id with an equal set."""
+    rows, reps, comps = _linked(narrowed(docs, id_col, text_col), words, percent)
     smallest = reps.select("node", F.col("doc_id").alias("class_id")).join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     low = smallest.groupBy("comp").agg(F.min("class_id").alias("component_id"))
     ids = smallest.join(low, "comp").select("node", "class_id", "component_id")
-    done = named.join(ids, "node", "left")
     own = lambda c: F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col(c)).alias(c)
-    return done.select("doc_id", F.col("n").cast("long").alias("n_shingles"), own("component_id"), own("class_id"))
+    return rows.join(ids, "node", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), own("component_id"), own("class_id"))
 
 
 def deduplicated(docs: DataFrame, *, words: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component, that with the smallest id, with all columns. An id is one document: of rows with one id
-    one stays. Rows without an id stay, as they are in no component."""
-    found = join(docs, words=words, percent=percent, id_col=id_col, text_col=text_col)
-    keep = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    key = F.col(f"`{id_col}`").cast("long")
-    kept = docs.join(keep, key == F.col("_keep"), "left_semi")
-    one = W.partitionBy(key).orderBy(F.col(f"`{text_col}`"))
-    first = kept.withColumn("_row", F.row_number().over(one)).filter("_row = 1").drop("_row")
-    return first.unionByName(docs.filter(key.isNull()))
+    """One document of each component, with all columns: that with the smallest id, and of several texts with that id the first by
+    a hash of the text; of repeated rows with that id and text one. Documents that no link joins stay, whatever other rows have
+    their id. Rows without an id and texts without words are in no component and stay, repeated or not. Rows that clearly stay are
+    not shuffled, of the others whole rows once."""
+    src, names = renamed(docs)
+    at, text = names[docs.columns.index(id_col)], names[docs.columns.index(text_col)]
+    rows, reps, comps = _linked(narrowed(docs, id_col, text_col), words, percent)
+    in_groups = rows.filter("n > 0 and doc_id is not null").join(comps, "node", "left").select(F.coalesce("comp", "node").alias("comp"), F.col("doc_id").alias("_id"), F.col("h").alias("_h"))
+    seen = stored(in_groups.groupBy("_id", "_h").agg(F.first("comp").alias("comp"), F.count("*").alias("c")), "seen")  # a text is in one component
+    first = seen.groupBy("comp").agg(F.min(F.struct("_id", "_h")).alias("f")).select("f._id", "f._h")
+    for done in (rows, reps, comps):
+        drop_table(done)
+    stays = ["_id", "_h"]
+    gone, many = stored(seen.join(first, stays, "left_anti").select(*stays), "gone"), stored(seen.filter("c > 1").join(first, stays, "left_semi").select(*stays), "many")
+    key: list[Column] = [F.col(at).cast("long").alias("_id"), F.xxhash64(F.col(text).cast("string")).alias("_h")]
+    kept = without(src.select(*names, *key), stays, gone.union(many)).select(*names)
+    if not many.isEmpty():
+        one = only(src.select(*names, *key), stays, many).groupBy(*stays).agg(F.first(F.struct(*names)).alias("r"))
+        kept = kept.unionByName(one.select("r.*"))
+    return kept.toDF(*docs.columns)
 
 
 #: The same in DuckDB for the given shingles and limit.

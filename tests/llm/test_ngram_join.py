@@ -114,3 +114,86 @@ def test_lists_of_a_pair_are_counted_together(spark):
     sets = [a, [x for x in a if x != a[1]], b, [x for x in b if x != a[0]]]
     df = spark.createDataFrame([(i, " ".join(s)) for i, s in enumerate(sets)], "doc_id long, text string")
     assert [r.component_id for r in J.join(df, words=1, percent=90).collect()] == [0, 0, 0, 0]
+
+
+def test_deduplicated_loses_no_text_where_an_id_repeats(spark):
+    a, b, c = "a b c d e f g", "other words are in this one here", "and a third text of some length"
+    rows = [(1, a, 1, "x"), (5, a, 2, "x"), (5, b, 3, "x"), (7, c, 4, "x"), (7, c, 4, "x"), (None, a, 5, "n"), (None, None, 6, "n"), (8, "", 7, "e"), (8, " \n", 8, "e"), (9, None, 9, "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _row int, _keep string").withColumnRenamed("_keep", "_maybe").repartition(3)
+    for frame in (df, df.withColumnRenamed("_row", "_id").withColumnRenamed("_maybe", "_h")):
+        out = J.deduplicated(frame, words=5, percent=80)
+        got = out.collect()
+        assert out.columns == frame.columns
+        assert sorted(tuple(r)[:3] for r in got if r.doc_id) == [(1, a, 1), (5, b, 3), (7, c, 4), (8, "", 7), (8, " \n", 8), (9, None, 9)]
+        assert sorted(r[2] for r in got if r.doc_id is None) == [5, 6]
+    assert J.deduplicated(df.limit(0), words=5, percent=80).collect() == []
+
+
+def test_repeated_rows_of_linked_texts(spark):
+    base = [f"v{i}" for i in range(60)]
+    near = [*base[:59], "other"]
+    rows = [(3, " ".join(base))] * 20 + [(2, " ".join(near))] * 15 + [(4, " ".join(base)), (2, "unlike the others in each word")]
+    got = J.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted([(3, 58, 2)] * 20 + [(2, 58, 2)] * 15 + [(4, 58, 2), (2, 4, 2)])
+
+
+def test_long_lists_are_dealt(spark, monkeypatch):
+    """With limits so low that most lists are long, and parts of lists small, the result is that of all pairs."""
+    monkeypatch.setattr(J, "HEAVY", 2)
+    monkeypatch.setattr(J, "LONG_SHARE", 1 << 40)
+    monkeypatch.setattr(J, "PART", 3)
+    rows = list(enumerate(texts()))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for words, percent in ((3, 90), (1, 80)):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.join(df, words=words, percent=percent).collect()}
+        assert got == brute(rows, words, percent)
+
+
+def test_sets_that_share_a_signature(spark, monkeypatch):
+    """Two 64-bit signatures tell sets apart: with a first one of two values, texts still go by their sets."""
+    both = J.signatures
+    monkeypatch.setattr(J, "signatures", lambda flat, cuts: (both(flat, cuts)[0] & 1, both(flat, cuts)[1]))
+    rows = [(i, t) for i, t in enumerate(["a b c d e", "a b c d e", "f g h i j", "k l m n o", "k l m n o", "p q r s t u"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert {r.doc_id: (r.component_id, r.class_id) for r in J.join(df).collect()} == {0: (0, 0), 1: (0, 0), 2: (2, 2), 3: (3, 3), 4: (3, 3), 5: (5, 5)}
+
+
+def test_a_very_long_text(spark):
+    r = random.Random(8)
+    long = " ".join(f"t{r.randrange(5000)}" for _ in range(60_000))
+    rows = [(1, long), (2, long + " end"), (3, "t1 t2 t3 t4")]
+    assert {x.doc_id: x.component_id for x in J.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {1: 1, 2: 1, 3: 3}
+
+
+def test_components_of_hubs_and_chains(spark, monkeypatch):
+    from quillgraph.llm import components as C
+
+    monkeypatch.setattr(C, "HUBS", 5)
+    r = random.Random(2)
+    links = [(0, i) for i in range(1, 300)] + [(1000 + i, 1001 + i) for i in range(50)] + [(r.randrange(2000, 2400), r.randrange(2000, 2400)) for _ in range(260)]
+    comp = {x: x for p in links for x in p}
+
+    def find(x):
+        while comp[x] != x:
+            x = comp[x]
+        return x
+
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        comp[b] = a
+    linked = {x for a, b in links if a != b for x in (a, b)}
+    got = {x.node: x.comp for x in C.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in linked}
+    assert C.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_rows_told_by_a_bitmap(spark, monkeypatch):
+    from quillgraph.llm import members as M
+
+    rows = spark.range(3000).selectExpr("if(id = 7, null, id) AS k", "id AS v")
+    gone = spark.range(0, 3000, 3).selectExpr("id AS k")
+    for most in (29, 12):
+        monkeypatch.setattr(M, "MOST_BITS", most)
+        assert sorted(r.v for r in M.without(rows, ["k"], gone).collect()) == [i for i in range(3000) if i % 3 or i == 7]
+        assert sorted(r.v for r in M.only(rows, ["k"], gone).collect()) == [i for i in range(0, 3000, 3)]
+    assert M.without(rows, ["k"], gone.limit(0)).count() == 3000 and M.only(rows, ["k"], gone.limit(0)).count() == 0
