@@ -12,10 +12,10 @@ the hash range differ by no more than the sets do.
 The common order comes from a sketch of fixed size that puts frequent shingles last; it changes the work, never the result.
 Two rounds: first every list's members are tried against a few pivots of the list, and what is verified joins components; then the
 lists are searched in full, but only between different components. So a large group of near copies costs its size, not its square,
-while no link between different components is lost. Lists within one component are left out before shapes are fetched.
+while no link between different components is lost.
 
 No task gets a whole long list. A list longer than ``LONG_SHARE`` of all entries (and HEAVY) has its pivots from an aggregation, and its
-members meet them by a broadcast whose size those two bound. In the second round a list is dealt in parts of ``PART``
+members meet them by a broadcast whose size those two bound. In the second round such a list is dealt in parts of ``PART``
 members, and each pair of parts is searched by a task of its own.
 
 Sets: lower-cased words (A-Z only), distinct shingles of ``words`` words; a shorter text is one shingle, a text without words
@@ -437,24 +437,24 @@ def classes(features: DataFrame) -> DataFrame:
 
 
 def _long_lists(short: DataFrame) -> DataFrame | None:
-    """Tokens whose lists are long, with up to PIVOTS pivots, those first by a hash; at most LONG_SHARE tokens, or None for none.
+    """Tokens whose lists are long, with their parts and up to PIVOTS pivots, those first by a hash; at most LONG_SHARE tokens, or None.
     Only a token in a frequent bucket can have one."""
     entries = short.agg(F.coalesce(F.sum(F.octet_length("short") / 8), F.lit(0)).cast("long")).first()[0]
     posted = short.mapInArrow(_postings(True), ENTRY)
-    counts = stored(posted.groupBy("token").agg(F.count("*").alias("c")).filter(F.col("c") > max(HEAVY, entries // LONG_SHARE)).select("token"), "long")
+    counts = stored(posted.groupBy("token").agg(F.count("*").alias("c")).filter(F.col("c") > max(HEAVY, entries // LONG_SHARE)), "long")
     if counts.isEmpty():
         drop_table(counts)
         return None
     h = F.xxhash64("node")
-    best = posted.join(F.broadcast(counts), "token").groupBy("token", F.pmod(h, F.lit(PIVOTS)).alias("k")).agg(F.min_by(F.struct("node", "n"), h).alias("p"))
-    out = stored(best.groupBy("token").agg(F.sort_array(F.collect_list("p")).alias("p")), "long")
+    best = posted.join(F.broadcast(counts), "token").groupBy("token", F.pmod(h, F.lit(PIVOTS)).alias("k")).agg(F.min_by(F.struct("node", "n"), h).alias("p"), F.first("c").alias("c"))
+    out = stored(best.groupBy("token").agg(F.sort_array(F.collect_list("p")).alias("p"), F.ceil(F.first("c") / PART).cast("int").alias("parts")), "long")
     drop_table(counts)
     return out
 
 
-def _tries(short: DataFrame, percent: int, n: int) -> DataFrame:
+def _tries(short: DataFrame, long: DataFrame | None, percent: int, n: int) -> DataFrame:
     """``token, node, n, pivots, needs`` of the members of lists of two or more. Stored."""
-    posted, long = short.mapInArrow(_postings(), ENTRY), _long_lists(short)
+    posted = short.mapInArrow(_postings(), ENTRY)
     schema = f"{ENTRY}, pivots array<bigint>, needs array<int>"
     light = posted if long is None else posted.join(F.broadcast(long.select("token")), "token", "left_anti")
     lists = light.repartition(n, "token").sortWithinPartitions("token", "n", "node").mapInArrow(_lists(percent), schema)
@@ -463,19 +463,18 @@ def _tries(short: DataFrame, percent: int, n: int) -> DataFrame:
     fits = lambda p: (p["node"] != F.col("node")) & (F.least(p["n"], F.col("n")) * 100 >= F.greatest(p["n"], F.col("n")) * percent)
     mine = short.mapInArrow(_postings(True), ENTRY).join(F.broadcast(long), "token").withColumn("p", F.filter("p", fits))  # LONG_SHARE * PIVOTS pivots at most
     need = F.transform("p", lambda p: F.ceil(F.least(p["n"], F.col("n")) / F.lit(PER_LIST)).cast("int"))
-    out = stored(lists.unionByName(mine.select("token", "node", "n", F.transform("p", lambda p: p["node"]).alias("pivots"), need.alias("needs"))), "lists")
-    drop_table(long)
-    return out
+    return stored(lists.unionByName(mine.select("token", "node", "n", F.transform("p", lambda p: p["node"]).alias("pivots"), need.alias("needs"))), "lists")
 
 
-def _blocks(lists: DataFrame, comps: DataFrame, reps: DataFrame) -> DataFrame:
-    """The members of lists with several components, once for each pair of parts that they are in, with shapes."""
-    tagged = lists.select("token", "node", "n").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = tagged.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("c")).filter("x <> y").select("token", F.ceil(F.col("c") / PART).cast("int").alias("parts"))
-    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+def _blocks(lists: DataFrame, comps: DataFrame, reps: DataFrame, long: DataFrame | None) -> DataFrame:
+    """The members of lists with component and shape; those of long lists once for each pair of parts that they are in."""
+    known = reps.select("node", "shape").join(comps, "node", "left").select("node", "shape", F.coalesce("comp", "node").alias("comp"))
+    tagged = lists.select("token", "node", "n").join(known, "node")
+    if long is None:
+        return tagged.withColumns({"low": F.lit(0), "high": F.lit(0), "side": F.lit(0)})
+    parts = tagged.join(F.broadcast(long.select("token", "parts")), "token", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     block = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least(q, "part").alias("low"), F.greatest(q, "part").alias("high"), F.when(q == F.col("part"), 0).when(F.col("part") < q, 1).otherwise(2).alias("side")))
-    wide = tagged.join(mixed, "token").withColumn("part", own).select("token", "node", "n", "comp", F.inline(block))
-    return wide.join(reps.select("node", "shape"), "node")
+    return parts.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).select("token", "node", "n", "comp", "shape", F.inline(block))
 
 
 def _linked(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -486,7 +485,9 @@ def _linked(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataF
     src = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
     features = stored(src.mapInArrow(_features(words, percent, order), "doc_id long, h long, n int, s1 long, s2 long, short binary, shape binary"), "features")
     reps = classes(features)
-    lists = _tries(reps.filter("doc_id is not null and octet_length(short) > 0").select("node", "n", "short"), percent, n)
+    short = reps.filter("doc_id is not null and octet_length(short) > 0").select("node", "n", "short")
+    long = _long_lists(short)
+    lists = _tries(short, long, percent, n)
     tried = lists.select("node", F.inline(F.arrays_zip("pivots", "needs"))).select(F.least("node", "pivots").alias("a"), F.greatest("node", "pivots").alias("b"), "needs")
     first = tried.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("needs").alias("t")).filter("c >= t").select("a", "b")
     pairs = near(first, reps, percent)
@@ -494,10 +495,10 @@ def _linked(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataF
     comps = components(links)
     top = comps.groupBy("comp").count().orderBy(F.desc("count"), "comp").limit(LARGE).collect()  # of fixed size
     large = spark.sparkContext.broadcast([r["comp"] for r in top])
-    across = _blocks(lists, comps, reps).repartition(n, "token", "low", "high").sortWithinPartitions("token", "low", "high", "n", "node").mapInArrow(_across(percent, large), "node long, n int, ids binary, sizes binary")
+    across = _blocks(lists, comps, reps, long).repartition(n, "token", "low", "high").sortWithinPartitions("token", "low", "high", "n", "node").mapInArrow(_across(percent, large), "node long, n int, ids binary, sizes binary")
     second = stored(across.repartition(n, "node").sortWithinPartitions("node").mapInArrow(_search, "a long, b long").distinct(), "pairs")
     more = verified(second, reps, docs, words, percent)
-    for done in (lists, pairs, second, comps):
+    for done in (lists, pairs, second, comps, *([] if long is None else [long])):
         drop_table(done)
     comps = components(links.union(more))
     for done in (links, more):
