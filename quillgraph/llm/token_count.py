@@ -3,10 +3,13 @@
 A text's words, each behind the word mark, are tokenised apart. In a word an Aho-Corasick automaton names every piece that ends
 at a character, longest first; the best score up to there and its number of pieces go on. A piece replaces the best so far only if
 its score is higher, so on a tie the longest last piece stays, as in the tokenizer library. A character that is no piece by
-itself may be read as its UTF-8 bytes at ten below the lowest score, and counts a token for each byte.
+itself may be read as its UTF-8 bytes at ten below the lowest score, and counts a token for each byte. Control, unknown and byte
+pieces are never matched in a text, as a tokenizer does not: ``<s>`` or ``<0x41>`` written out are characters like others.
 
-Each distinct word of a block is searched once and counted as often as it occurs. Null and empty texts have no tokens.
-Very long words cost their length. Repeated rows give repeated results. Extra columns are not read. Nothing is shuffled.
+Each distinct word of a block is searched once and counted as often as it occurs; the score of a text is summed over its own words
+in order, whatever texts are around it. Null and empty texts have no tokens. Very long words cost their length, very long texts
+are whole. Repeated rows give repeated results, an empty table an empty one. Extra columns, whatever their names, are not read.
+Nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -30,9 +33,10 @@ _LOADED: dict[str, Pieces] = {}
 
 
 def vocabulary(path: str) -> list[tuple[str, float]]:
-    """Pieces and scores of a model file, in the order of their ids."""
+    """The pieces of a model file that a text can match, with their scores, in the order of their ids."""
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    return [(model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size())]
+    plain = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
+    return [(model.id_to_piece(i), model.get_score(i)) for i in plain]
 
 
 class Pieces:
@@ -88,6 +92,14 @@ class Pieces:
         return out[0].astype(np.int64), out[1]
 
 
+def _by_row(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the runs that ``first`` (with a last entry) cuts, each from its own values alone."""
+    out, some = np.zeros(len(first) - 1, values.dtype), first[1:] > first[:-1]
+    if some.any():
+        out[some] = np.add.reduceat(values, first[:-1][some])
+    return out
+
+
 def loaded(path: str) -> Pieces:
     if path not in _LOADED:
         _LOADED[path] = Pieces(vocabulary(path))
@@ -109,8 +121,7 @@ def _counter(path: str):
             data = buf.tobytes()
             words = [data[a:b] for a, b in zip(starts[sample].tolist(), ends[sample].tolist(), strict=True)]
             tokens, scores = vocab.counts(words)
-            upto = [np.concatenate([[0], np.cumsum(x[where])]) for x in (tokens, scores)]
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(np.diff(first)), *(pa.array(u[first[1:]] - u[first[:-1]]) for u in upto)], ["doc_id", "n_words", "n_tokens", "score"])
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(np.diff(first)), *(pa.array(_by_row(x[where], first)) for x in (tokens, scores))], ["doc_id", "n_words", "n_tokens", "score"])
 
     return run
 
