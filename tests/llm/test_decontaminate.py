@@ -31,7 +31,7 @@ def test_distance(item, text):
 
 def test_triples_needed_lose_nothing():
     r = random.Random(0)
-    for n in range(C.LEAST_WORDS, 60):
+    for n in range(C.SHORT + 1, 60):
         item = list(range(n))
         for _ in range(30):
             t = list(item)
@@ -46,7 +46,7 @@ def test_recall_and_no_false_report(spark):
     r = random.Random(3)
     vocab = [f"w{i}" for i in range(300)]
     text = lambda n: [r.choice(vocab) for _ in range(n)]
-    items = [(i, " ".join(text(r.randrange(12, 50)))) for i in range(25)] + [(90, "too short"), (91, None), (None, "an item without id is never searched at all")]
+    items = [(i, " ".join(text(r.randrange(12, 50)))) for i in range(25)] + [(90, "too short"), (91, None), (92, "w1"), (93, "w2 w3 w4 w5 w6"), (94, ""), (None, "an item without id is never searched at all")]
     docs, planted = [], set()
     for d in range(300):
         body = text(r.randrange(0, 120))
@@ -65,7 +65,7 @@ def test_recall_and_no_false_report(spark):
     for k, (d, t, *_) in enumerate(docs):
         for i, it in items:
             n = len(words_of(it))
-            if i is not None and n >= C.LEAST_WORDS and plain(words_of(it), words_of(t)) <= C.allowed(n):
+            if i is not None and n and plain(words_of(it), words_of(t)) <= C.allowed(n):
                 want.add((d, i))
     rows = C.contaminated(df, bench).collect()
     got = {(x.doc_id, i) for x in rows for i in x.item_ids}
@@ -89,3 +89,31 @@ def test_slices_and_empty_tables(spark, monkeypatch):
     assert sorted(map(str, C.contaminated(df, bench).collect())) == one and C.clean(df, bench).count() == 0
     assert C.contaminated(df.limit(0), bench).collect() == []
     assert C.contaminated(df, bench.limit(0)).filter("contaminated").count() == 0
+
+
+def test_items_of_a_few_words_against_all_passages():
+    """Up to SHORT words no passage within the distance is lost, whatever is edited."""
+    import pyarrow as pa
+
+    from quillgraph.llm import text_kernel as K
+
+    r = random.Random(6)
+    word = lambda: r.choice("abcdefg")
+    items = [(i, " ".join(word() for _ in range(1 + i % 5))) for i in range(40)]
+    texts = [" ".join(word() for _ in range(r.randrange(0, 12))) for _ in range(300)]
+    got = {(row, name): d for row, name, d, _ in sorted(C.Items(items).search(*C.plain_words(*K.buffer_of(pa.array(texts)))), key=lambda x: -x[2])}
+    want = {(k, i): d for k, t in enumerate(texts) for i, it in items if (d := plain(it.split(), t.split())) <= C.allowed(len(it.split()))}
+    assert got == want and len(want) > 300
+
+
+def test_a_repeated_common_triple_takes_no_more_memory(monkeypatch):
+    import pyarrow as pa
+
+    from quillgraph.llm import text_kernel as K
+
+    items = [(i, f"one two three four{i} five{i} six{i} seven{i}") for i in range(30)]
+    texts = ["one two three " * 500 + items[7][1], "nothing of it", items[3][1]]
+    args = C.plain_words(*K.buffer_of(pa.array(texts)))
+    whole = sorted(C.Items(items).search(*args))
+    monkeypatch.setattr(C, "EXPANDED", 700)
+    assert sorted(C.Items(items).search(*args)) == whole and {(r, i) for r, i, *_ in whole} >= {(0, 7), (2, 3)}
