@@ -121,7 +121,7 @@ def _unplanes(data: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(data.reshape(4, -1).T).ravel().view("<u4")
 
 
-def _slices(shard: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+def slices(shard: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
     """Shard and indices of its members, in order."""
     order = np.argsort(shard, kind="stable")
     edge = np.searchsorted(shard[order], np.arange(shards + 1))
@@ -129,11 +129,11 @@ def _slices(shard: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
         yield s, order[edge[s] : edge[s + 1]]
 
 
-def _rows(out: list[tuple[int, bytes]]) -> pa.RecordBatch:
+def payloads(out: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], ["shard", "payload"])
 
 
-def _hash_shard(h: np.ndarray, shards: int) -> np.ndarray:
+def hash_shard(h: np.ndarray, shards: int) -> np.ndarray:
     return ((h >> _32) * np.uint64(shards) >> _32).astype(np.int64)
 
 
@@ -141,9 +141,9 @@ def _count_words(shards: int, fold: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text", COUNT_BYTES):
             h, c = tally(tokens(*K.buffer_of(piece.column("text")), fold)[0])
-            out = [(s, K.pack(h[i], K.put_varints(c[i])[0])) for s, i in _slices(_hash_shard(h, shards), shards)]
+            out = [(s, K.pack(h[i], K.put_varints(c[i])[0])) for s, i in slices(hash_shard(h, shards), shards)]
             if out:
-                yield _rows(out)
+                yield payloads(out)
 
     return run
 
@@ -165,7 +165,7 @@ def _merge_words(folder: str):
             top = np.argsort(-c, kind="stable")[:REPORTED]
             out.append((s, np.concatenate([[len(h), c.sum()], top, c[top]]).astype(np.int64).tobytes()))
         if out:
-            yield _rows(out)
+            yield payloads(out)
 
     return run
 
@@ -173,7 +173,7 @@ def _merge_words(folder: str):
 def word_ids(m: Model, h: np.ndarray, *more: str) -> tuple[np.ndarray, ...]:
     """Ids of sorted hashes (-1: unknown), and the named arrays' values at them (0: unknown)."""
     ids, found = np.full(len(h), -1, np.int64), [np.zeros(len(h), np.int64) for _ in more]
-    edge = np.searchsorted(_hash_shard(h, m.shards), np.arange(m.shards + 1))
+    edge = np.searchsorted(hash_shard(h, m.shards), np.arange(m.shards + 1))
     for s in np.flatnonzero(np.diff(edge)).tolist():
         if m.bases[s + 1] == m.bases[s]:
             continue
@@ -215,11 +215,11 @@ def _count_pairs(m: Model):
             before, ids = _pair_keys(m, *tokens(*K.buffer_of(piece.column("text")), m.fold))
             key, c = tally((before.astype(np.uint64) << _32) | ids.astype(np.uint64))
             out = []
-            for s, i in _slices(_pair_shard(m, key), m.shards):
+            for s, i in slices(_pair_shard(m, key), m.shards):
                 first, second = (key[i] >> _32).astype(np.int64), (key[i] & _LOW).astype(np.uint32)
                 out.append((s, K.pack(K.put_varints(np.diff(first, prepend=0))[0], _planes(second), K.put_varints(c[i])[0])))
             if out:
-                yield _rows(out)
+                yield payloads(out)
 
     return run
 
@@ -252,11 +252,11 @@ def _merge_pairs(m: Model):
             for k, x in enumerate(stats):
                 store.put(m.folder, f"first-{k}-{s}", x)
             mine = np.flatnonzero(np.isin(names, frequent))
-            yield _rows([(-1, np.concatenate([[len(key)], _of_counts(c), np.concatenate([names[mine][None], stats[:, mine]]).T.ravel()]).astype(np.int64).tobytes())])
+            yield payloads([(-1, np.concatenate([[len(key)], _of_counts(c), np.concatenate([names[mine][None], stats[:, mine]]).T.ravel()]).astype(np.int64).tobytes())])
             second, n = tally(key & _LOW)
             bases = np.array(m.bases)
             where = np.searchsorted(bases, second.astype(np.int64), side="right") - 1
-            yield _rows([(w, K.pack(K.put_varints(np.diff(second[i].astype(np.int64) - bases[w], prepend=0))[0], K.put_varints(n[i])[0])) for w, i in _slices(where, m.shards)])
+            yield payloads([(w, K.pack(K.put_varints(np.diff(second[i].astype(np.int64) - bases[w], prepend=0))[0], K.put_varints(n[i])[0])) for w, i in slices(where, m.shards)])
 
     return run
 
@@ -274,7 +274,7 @@ def _merge_continuations(m: Model):
                 sums[s][np.cumsum(K.get_varints(at)[0])] += K.get_varints(n)[0]
         for s, c in sums.items():
             store.put(m.folder, f"word-firsts-{s}", c)
-            yield _rows([(s, np.concatenate([_of_counts(c), [(c > 2).sum()]]).astype(np.int64).tobytes())])
+            yield payloads([(s, np.concatenate([_of_counts(c), [(c > 2).sum()]]).astype(np.int64).tobytes())])
 
     return run
 
@@ -331,11 +331,11 @@ def train(texts: DataFrame, *, fold: bool = True, text_col: str = "text", label:
     return Model(folder, n, fold, m.bases, total, texts_n, m.spread, discounts(*of_counts.tolist()), wd, pairs, float(rest), tuple((k, tuple(int(i) for i in v)) for k, v in totals.items()))
 
 
-def _first_stats(m: Model, first: np.ndarray) -> np.ndarray:
+def first_stats(m: Model, first: np.ndarray) -> np.ndarray:
     """Total and numbers followed once, twice and more often, of sorted ids of first words (-1: none)."""
     out = np.zeros((4, len(first)), np.int64)
     known = np.flatnonzero(first >= 0)
-    for s, i in _slices(np.minimum(first[known] * m.shards // (m.vocabulary + 1), m.shards - 1), m.shards):
+    for s, i in slices(np.minimum(first[known] * m.shards // (m.vocabulary + 1), m.shards - 1), m.shards):
         i = known[i]
         try:
             names = store.get(m.folder, f"first-{s}")
@@ -360,7 +360,7 @@ def log_probabilities(m: Model, before: np.ndarray, ids: np.ndarray, firsts: np.
     key = (np.where(both, before, 0).astype(np.uint64) << _32) | np.where(both, ids, 0).astype(np.uint64)
     distinct = tally(key)[0]
     count = np.zeros(len(distinct), np.int64)
-    for s, i in _slices(_pair_shard(m, distinct), m.shards):
+    for s, i in slices(_pair_shard(m, distinct), m.shards):
         try:
             known = store.get(m.folder, f"pair-{s}")
         except FileNotFoundError:
@@ -369,7 +369,7 @@ def log_probabilities(m: Model, before: np.ndarray, ids: np.ndarray, firsts: np.
         count[i] = np.where(known[at] == distinct[i], store.get(m.folder, f"pair-count-{s}")[at], 0)
     c = np.where(both, count[np.searchsorted(distinct, key)], 0)
     first = tally(before)[0]
-    total, one, two, more = _first_stats(m, first)[:, np.searchsorted(first, before)]
+    total, one, two, more = first_stats(m, first)[:, np.searchsorted(first, before)]
     seen = total > 0
     total = np.maximum(total, 1)
     p = np.where(seen, (c - pd[np.minimum(c, 3)]) / total + (pd[1] * one + pd[2] * two + pd[3] * more) / total * low, low)
