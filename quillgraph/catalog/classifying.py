@@ -33,15 +33,20 @@ def _(get):
     return get("sql_text").select("id", C.sql_operation(F.col("sql")).alias("op"))
 
 
-NAMES = "(VALUES ('findAllById'), ('getName'), ('saveAll'), ('updateFirst'), ('removeAll'), ('countByX'), ('existsById'), ('aggregateX'), ('groupBy'), ('doWork'), ('insertOne'), ('DeleteMany'), ('listAll')) AS t(name)"
+VERBS = "findAllById getName saveAll updateFirst removeAll countByX existsById aggregateX groupBy doWork insertOne DeleteMany listAll incrementCounter facetBy scrollAll bulkWriteAll unwindX watchIt mapReduceX aggregation addListener createLogger setName getSession resolveIt outTo putDocumentX mutateX".split()
+NAMES = "SELECT v AS name, p_type AS part, CASE p_type WHEN 'ECONOMY' THEN 'ENTITY' WHEN 'PROMO' THEN 'OTHER' WHEN 'STANDARD' THEN 'SERVICE' WHEN 'SMALL' THEN 'REPOSITORY' END AS role FROM (SELECT DISTINCT p_type FROM {part}) CROSS JOIN (VALUES %s) AS t(v)" % ", ".join(f"('{v}')" for v in VERBS)
+OPS = "|".join(C.OTHER_SUFFIXES)
 
 
-@query("op_from_name", f"""SELECT name, CASE WHEN regexp_matches(lower(name), '^(find|get|read|query|search|fetch|load|retrieve|distinct|stream|list|select|lookup)') THEN 'READ'
-    WHEN regexp_matches(lower(name), '^(save|insert|persist|create|add|store|execute)') THEN 'WRITE' WHEN regexp_matches(lower(name), '^(update|modify|set|patch|edit|change|replace|upsert|merge)') THEN 'UPDATE'
-    WHEN regexp_matches(lower(name), '^(delete|remove|clear|purge|drop)') THEN 'DELETE' WHEN regexp_matches(lower(name), '^(aggregate|pipeline|group|bucket)') THEN 'AGGREGATE'
-    WHEN regexp_matches(lower(name), '^(count|exists)') THEN 'COUNT' END AS op FROM {NAMES}""")
+def any_of(op, bare):
+    return "^(%s)" % "|".join(w.lower() for w in C.OP_PREFIXES[op] if (w in C.ACCESSORS) != bare)
+
+
+@query("op_from_name", f"SELECT name, part, CASE WHEN regexp_matches(lower(name), '({OPS})$') THEN NULL " + " ".join(
+    f"WHEN regexp_matches(lower(name), '{any_of(op, True)}')" + (f" OR (regexp_matches(lower(name), '{any_of(op, False)}') AND role IN ('SERVICE', 'REPOSITORY'))" if set(w) & set(C.ACCESSORS) else "") + f" THEN '{op}'" for op, w in C.OP_PREFIXES.items()) + f" END AS op FROM ({NAMES})")
 def _(get):
-    return get.spark.sql(f"SELECT * FROM {NAMES}").select("name", C.op_from_name(F.col("name")).alias("op"))
+    """By prefix, without names that end in another purpose; accessors count only outside data classes."""
+    return get.sql(NAMES).select("name", "part", C.op_from_name(F.col("name"), F.col("role")).alias("op"))
 
 
 PREFIXES = "(VALUES ('COLL_1', 'Claims', 1), ('COLL_12', 'Policy', 1), ('COLL_2', 'Accounting', 2), ('COLL_', 'General', 3), ('COLL_1', 'Late', 3)) AS p(prefix, domain, level)"
@@ -65,13 +70,14 @@ def _(get):
     return get("part").select("p_type").distinct().select("p_type", F.coalesce(by_note, F.when(F.col("p_type").endswith("O"), "REPOSITORY").otherwise("OTHER")).alias("stereotype"))
 
 
-@query("jar_label", """SELECT archive, array_to_string(list_transform(list_filter(string_split(lower(regexp_replace(archive, '[0-9]+-', '')), ' '), lambda x: x NOT IN ('core', 'not')), lambda x: upper(x[1]) || x[2:]), ' ') AS label
-    FROM (SELECT DISTINCT o_orderpriority AS archive FROM orders)""")
+ARCHIVES = "SELECT DISTINCT concat(lower(p_type), '-', CASE p_partkey % 3 WHEN 0 THEN 'core' WHEN 1 THEN 'billing-service' ELSE 'web-app' END, '-', CAST(p_size AS VARCHAR(9)), '.0.1', CASE p_partkey % 2 WHEN 0 THEN '-SNAPSHOT' ELSE '' END, '.jar') AS archive FROM {part}"
+
+
+@query("jar_label", f"""SELECT archive, array_to_string(list_transform(list_filter(string_split(regexp_replace(archive, '(-[0-9][0-9.]*(-SNAPSHOT)?)?[.]jar$', ''), '-'), lambda x: x NOT IN ('extension', 'core', 'lib', 'common', 'shared', 'service', 'module', 'app')),
+    lambda x: upper(x[1]) || x[2:]), ' ') AS label FROM ({ARCHIVES})""")
 def _(get):
     """A label from an archive's name: version off, filler segments off, words capitalised."""
-    archives = get("orders").select(F.col("o_orderpriority").alias("archive")).distinct()
-    words = F.filter(F.split(F.lower(F.regexp_replace("archive", "[0-9]+-", "")), " "), lambda x: ~x.isin("core", "not"))
-    return archives.select("archive", F.array_join(F.transform(words, F.initcap), " ").alias("label"))
+    return get.sql(ARCHIVES).select("archive", C.archive_label(F.col("archive")).alias("label"))
 
 
 @query("var_category", """SELECT v, CASE WHEN ends_with(upper(v), '%ROWTYPE') THEN 'ROWTYPE' WHEN ends_with(upper(v), '%TYPE') THEN 'TYPE' WHEN regexp_matches(upper(v), '\\b(TABLE|VARRAY)\\b|^T_.*(TAB|LIST)$') THEN 'COLLECTION' ELSE 'PLAIN' END AS category
@@ -112,10 +118,13 @@ def _(get):
     return rollup.complexity(get("usage"))
 
 
-@query("view_detect", "SELECT DISTINCT p_name, contains(upper(p_name), '_V_') OR contains(upper(p_name), '_VI_') OR starts_with(upper(p_name), 'SB_') OR starts_with(p_name, 'r') AS is_view FROM part")
+COLLECTIONS = "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN concat(upper(p_type), '_V_', CAST(p_size AS VARCHAR(9))) WHEN 1 THEN concat('sb_', p_type) WHEN 2 THEN concat(p_type, '_vi_x') ELSE concat('DATA_', p_type) END AS name FROM {part}"
+
+
+@query("view_detect", f"SELECT p_partkey, name, p_partkey % 4 < 3 AS is_view FROM ({COLLECTIONS})")
 def _(get):
-    u = F.upper("p_name")
-    return get("part").select("p_name", (u.contains("_V_") | u.contains("_VI_") | u.startswith("SB_") | F.col("p_name").startswith("r")).alias("is_view")).distinct()
+    """A view by the marks in a collection's name."""
+    return get.sql(COLLECTIONS).select("p_partkey", "name", C.view_name(F.col("name")).alias("is_view"))
 
 
 @query("batch_keyword", "SELECT conv_id, turn, regexp_matches(lower(text), 'batch|job|schedul|cron|async|bulk|process|trigger|task') AS batch FROM conversations")
@@ -124,10 +133,12 @@ def _(get):
 
 
 @query("txn_requirement", """SELECT endpoint, CASE WHEN w > 1 THEN 'REQUIRED' WHEN w = 1 AND n > 1 THEN 'ADVISORY' ELSE 'NONE' END AS txn
-    FROM (SELECT endpoint, count(DISTINCT CASE WHEN op IN ('WRITE', 'UPDATE', 'DELETE') THEN collection END) AS w, count(DISTINCT collection) AS n FROM {usage} GROUP BY endpoint)""")
+    FROM (SELECT endpoint, count(DISTINCT CASE WHEN op IN ('WRITE', 'UPDATE', 'DELETE') THEN split_part(collection, '_', 2)[1:1] END) AS w, count(DISTINCT split_part(collection, '_', 2)[1:1]) AS n FROM {usage} GROUP BY endpoint)""")
 def _(get):
-    writes = F.countDistinct(F.when(F.col("op").isin("WRITE", "UPDATE", "DELETE"), F.col("collection"))).alias("w")
-    g = get("usage").groupBy("endpoint").agg(writes, F.countDistinct("collection").alias("n"))
+    """By the domains that an endpoint writes to and touches; the first digit of a collection's number is its domain here."""
+    domain = F.substring(F.split("collection", "_")[1], 1, 1)
+    writes = F.countDistinct(F.when(F.col("op").isin("WRITE", "UPDATE", "DELETE"), domain)).alias("w")
+    g = get("usage").groupBy("endpoint").agg(writes, F.countDistinct(domain).alias("n"))
     return g.select("endpoint", F.when(F.col("w") > 1, "REQUIRED").when((F.col("w") == 1) & (F.col("n") > 1), "ADVISORY").otherwise("NONE").alias("txn"))
 
 

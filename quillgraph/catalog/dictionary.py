@@ -75,3 +75,40 @@ def _(get):
     d = get("documents").select("doc_id")
     b = get("benchmark").select(F.col("item_id").alias("doc_id"), "item_id")
     return d.join(b, "doc_id", "left").join(get("labels").select("doc_id", "quality"), "doc_id", "left").select("doc_id", F.coalesce("item_id", F.col("quality").cast("long"), F.lit(-1).cast("long")).alias("v"))
+
+
+@query("direct_deps", "SELECT DISTINCT src, dst FROM {edge_dag} WHERE src IN (SELECT concat('N', CAST(n_nationkey AS VARCHAR(20))) FROM {nation} WHERE n_regionkey = 2) AND dst NOT LIKE 'C1%'")
+def _(get):
+    """What objects of a seed list depend on directly, some kinds left out."""
+    seeds = get("nation").filter("n_regionkey = 2").select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("src"))
+    return get("edge_dag").join(seeds, "src", "left_semi").filter("dst NOT LIKE 'C1%'").select("src", "dst").distinct()
+
+
+@query("object_deps", "SELECT src, dst, CAST(NULL AS VARCHAR) AS link, 'OUT' AS way FROM {edge_dag} WHERE src = 'N7' UNION ALL SELECT src, dst, NULL, 'IN' FROM {edge_dag} WHERE dst = 'N7'")
+def _(get):
+    """Dependencies and references of one object; a link is not known."""
+    e = get("edge_dag").filter("src = 'N7' OR dst = 'N7'")
+    return e.select("src", "dst", F.lit(None).cast("string").alias("link"), F.when(F.col("src") == "N7", "OUT").otherwise("IN").alias("way"))
+
+
+@query("object_listing", "SELECT name, type, ord FROM {dict_objects} WHERE owner = 'OWN3' AND type IN ('TABLE', 'VIEW') ORDER BY type, name, ord")
+def _(get):
+    return get("dict_objects").filter("owner = 'OWN3' AND type IN ('TABLE', 'VIEW')").select("name", "type", "ord").orderBy("type", "name", "ord")
+
+
+COLUMNS = "SELECT owner, name, n_name AS col, n_nationkey + 1 AS place FROM {dict_objects} JOIN {nation} ON n_nationkey < ord % 5"
+
+
+@query("object_columns", f"SELECT owner, name, count(*) AS n, array_to_string(list(col ORDER BY place, col), ',') AS cols FROM ({COLUMNS}) GROUP BY owner, name")
+def _(get):
+    """Columns of each object in their order, for all objects at once."""
+    g = get.sql(COLUMNS).groupBy("owner", "name").agg(F.array_sort(F.collect_list(F.struct("place", "col"))).alias("l"))
+    return g.select("owner", "name", F.size("l").cast("long").alias("n"), F.array_join(F.transform("l", lambda x: x["col"]), ",").alias("cols"))
+
+
+@query("view_texts", "SELECT owner, name, concat('SELECT * FROM ', lower(name)) AS text FROM {dict_objects} WHERE type = 'VIEW' AND (owner, name) IN (SELECT owner, name FROM {dict_objects} WHERE type = 'TABLE')")
+def _(get):
+    """Definitions of the views that a list of pairs asks for."""
+    d = get("dict_objects")
+    texts = d.filter("type = 'VIEW'").select("owner", "name", F.concat(F.lit("SELECT * FROM "), F.lower("name")).alias("text"))
+    return texts.join(d.filter("type = 'TABLE'").select("owner", "name"), ["owner", "name"], "left_semi")

@@ -153,7 +153,7 @@ def _(get):
 def _(get):
     f = get("fingerprint")
     members = f.select("id").distinct().withColumn("cluster", F.substring("id", 2, 9).cast("int") % 12)
-    return similar.cohesion(members, similar.weighted_jaccard(f, similar.idf_weights(f)))
+    return similar.cohesion(members, f, similar.idf_weights(f))
 
 
 @query("greedy_clusters")

@@ -48,7 +48,7 @@ def _(get):
     return R.ops_lines(get("access"), "proc")
 
 
-@query("call_group", f"SELECT caller, callee, any_value(type) AS type, count(*) AS n_calls, {LINES} AS lines FROM {{call}} WHERE type <> 'BUILTIN' GROUP BY caller, callee")
+@query("call_group", f"SELECT caller, callee, arg_min(type, ord) AS type, count(*) AS n_calls, {LINES} AS lines FROM {{call}} WHERE type <> 'BUILTIN' GROUP BY caller, callee")
 def _(get):
     return R.call_group(get("call"))
 
@@ -171,6 +171,14 @@ def _(get):
     return R.merge_chunks(chunks)
 
 
+@query("call_sequences", f"SELECT caller, {sorted_set('name')} AS names, count(*) AS n FROM (SELECT caller, concat('seq_', callee) AS name FROM {{call}} WHERE line % 2 = 0) GROUP BY caller")
+def _(get):
+    """Sequences among a caller's calls: those whose name says NEXTVAL or CURRVAL."""
+    calls = get("call").withColumn("name", F.concat(F.lit("seq_"), "callee", F.when(F.col("line") % 2 == 0, ".nextval").otherwise(".run")))
+    used = calls.filter(F.upper("name").rlike(r"\.(NEXTVAL|CURRVAL)$"))
+    return used.groupBy("caller").agg(R.joined(F.regexp_replace("name", r"\.\w+$", "")).alias("names"), F.count("*").alias("n"))
+
+
 @query("distinct_tables", "SELECT count(DISTINCT tbl) AS n FROM {access}")
 def _(get):
     return get("access").agg(F.countDistinct("tbl").alias("n"))

@@ -189,3 +189,25 @@ def _(get):
 def _(get):
     w = W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey").rowsBetween(W.unboundedPreceding, 0)
     return get("orders").select("o_orderkey", F.round(F.sum("o_totalprice").over(w), 2).alias("running"))
+
+
+# constructs with a text of their own in each engine
+surface("sql_join_comma", "SELECT n_name, r_name, s_name FROM {nation} n, {region} r, {supplier} s WHERE n.n_regionkey = r.r_regionkey AND s.s_nationkey = n.n_nationkey")
+surface("sql_join_outer_apply", D.rewrite("SELECT n_name, top.s_name FROM {nation} n OUTER APPLY (SELECT max(s_name) AS s_name FROM {supplier} s WHERE s.s_nationkey = n.n_nationkey AND s_acctbal > 8000) top"),
+    "SELECT n_name, (SELECT max(s_name) FROM supplier s WHERE s.s_nationkey = n.n_nationkey AND s_acctbal > 8000) AS s_name FROM nation n")
+surface("sql_subq_all_empty", "SELECT c_custkey FROM {customer} c WHERE NOT EXISTS (SELECT 1 FROM {supplier} s WHERE s.s_nationkey = c.c_nationkey AND s_acctbal > 5000 AND NOT coalesce(c.c_acctbal > s.s_acctbal, FALSE))",
+    "SELECT c_custkey FROM customer c WHERE c.c_acctbal > ALL (SELECT s_acctbal FROM supplier s WHERE s.s_nationkey = c.c_nationkey AND s_acctbal > 5000)")
+surface("sql_subq_any", "SELECT c_custkey FROM {customer} c WHERE EXISTS (SELECT 1 FROM {supplier} s WHERE s.s_nationkey = c.c_nationkey AND c.c_acctbal < s.s_acctbal)",
+    "SELECT c_custkey FROM customer c WHERE c.c_acctbal < ANY (SELECT s_acctbal FROM supplier s WHERE s.s_nationkey = c.c_nationkey)")
+surface("sql_agg_listagg_distinct", "SELECT n_regionkey, listagg(DISTINCT substring(n_name, 1, 1), ',') WITHIN GROUP (ORDER BY substring(n_name, 1, 1)) AS letters FROM {nation} GROUP BY n_regionkey",
+    "SELECT n_regionkey, array_to_string(list_sort(list(DISTINCT substring(n_name, 1, 1))), ',') AS letters FROM nation GROUP BY n_regionkey")
+surface("sql_json_object", "SELECT n_nationkey, to_json(named_struct('k', n_nationkey, 'n', n_name)) AS j FROM {nation}", "SELECT n_nationkey, CAST(json_object('k', n_nationkey, 'n', n_name) AS VARCHAR) AS j FROM nation")
+surface("sql_json_objectagg", "SELECT n_regionkey, to_json(map_from_entries(array_sort(collect_list(struct(n_name, n_nationkey))))) AS j FROM {nation} GROUP BY n_regionkey",
+    "SELECT n_regionkey, concat('{{', string_agg(concat('\"', n_name, '\":', CAST(n_nationkey AS VARCHAR)), ',' ORDER BY n_name), '}}') AS j FROM nation GROUP BY n_regionkey")
+surface("sql_json_table", "SELECT event_id, j.k FROM {events} LATERAL VIEW inline(from_json(concat('[', props, ',', props, ']'), 'array<struct<k:bigint>>')) j AS k", "SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k FROM events CROSS JOIN (VALUES (1), (2)) AS t(i)")
+surface("sql_is_nan", "SELECT count(*) AS n FROM {supplier} WHERE isnan(CASE WHEN s_acctbal > 0 THEN s_acctbal ELSE CAST('NaN' AS DOUBLE) END)", "SELECT count(*) AS n FROM supplier WHERE NOT (s_acctbal > 0)")
+surface("sql_as_of", "SELECT user_id, max_by(event_type, struct(ts, event_id)) AS state FROM {events} WHERE ts <= (SELECT min(ts) + INTERVAL 10 DAY FROM {events}) GROUP BY user_id",
+    "SELECT user_id, arg_max(event_type, (ts, event_id)) AS state FROM events WHERE ts <= (SELECT min(ts) + INTERVAL 10 DAY FROM events) GROUP BY user_id")
+surface("sql_insert_first", "SELECT CASE WHEN o_totalprice > 300000 THEN 'BIG' WHEN o_orderstatus = 'F' THEN 'DONE' ELSE 'REST' END AS target, count(*) AS n FROM {orders} GROUP BY 1")
+surface("sql_regexp_instr", "SELECT p_partkey, regexp_instr(p_name, 'e[a-z]') AS at FROM {part}", "SELECT p_partkey, CAST(CASE WHEN regexp_matches(p_name, 'e[a-z]') THEN instr(p_name, regexp_extract(p_name, 'e[a-z]')) ELSE 0 END AS INTEGER) AS at FROM part")
+surface("sql_to_char", "SELECT o_orderkey, date_format(o_orderdate, 'yyyy/MM/dd HH:mm') AS d FROM {orders}", "SELECT o_orderkey, strftime(o_orderdate, '%Y/%m/%d %H:%M') AS d FROM orders")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import plsql
 from ..functions import sqltext as T
 from ..operators import resolve as R
 from ..registry import query
 
-N = r"([A-Za-z_][\w$#]*(?:\.[A-Za-z_][\w$#]*)?)"
+N = T.NAME
 
 
 def listed(words, rx=N):
@@ -16,7 +17,11 @@ def listed(words, rx=N):
     return f"list_transform(flatten([{parts}]), lambda x: upper(x))"
 
 
-TABLES = f"list_sort(list_filter(list_distinct({listed(T.BEFORE_TABLE)}), lambda x: length(x) >= 2 AND x NOT IN ({', '.join(repr(w) for w in T.STOP_WORDS)})))"
+def names(words):
+    return f"list_sort(list_filter(list_distinct({listed(words)}), lambda x: length(split_part(x, '.', -1)) >= 2 AND split_part(x, '.', -1) NOT IN ({', '.join(repr(w) for w in T.STOP_WORDS)})))"
+
+
+TABLES = names(T.BEFORE_TABLE)
 
 
 def braces(sql: str) -> str:
@@ -28,10 +33,7 @@ def _(get):
     return get("sql_text").select("id", F.array_join(T.tables(F.col("sql")), ",").alias("tables"))
 
 
-PROCS = listed((r"\bCALL", r"\bEXEC(?:UTE)?", r"\bBEGIN"))
-
-
-@query("sql_procs", f"SELECT id, array_to_string(list_sort(list_distinct({PROCS})), ',') AS procs FROM {{sql_text}}")
+@query("sql_procs", f"SELECT id, array_to_string({names(T.BEFORE_PROCEDURE)}, ',') AS procs FROM {{sql_text}}")
 def _(get):
     return get("sql_text").select("id", F.array_join(T.procedures(F.col("sql")), ",").alias("procs"))
 
@@ -125,17 +127,24 @@ def _(get):
     return get("pages").select("page_id", T.joined_path(F.regexp_extract("url", "^https?://([^?#]*)", 1), F.lit("//v1/")).alias("path"))
 
 
-@query("subprogram_body", "SELECT doc_id, length(regexp_extract(text, '[^.]*[.]')) AS n FROM documents")
+@query("subprogram_body", "SELECT id, body_named AS by_name, body_plain AS by_block, CAST(NULL AS VARCHAR) AS none FROM {unit_source}")
 def _(get):
-    """The first statement of a text."""
-    return get("documents").select("doc_id", F.char_length(F.regexp_extract("text", "[^.]*[.]", 0)).cast("long").alias("n"))
+    """A procedure that ends by its name, one that ends with its block, and one that is not there."""
+    u = get("unit_source").withColumn("text", F.concat("head", "body_named", F.lit("\n"), "body_plain", F.lit("\nEND;")))
+    return u.select("id", T.subprogram_source("text", "named").alias("by_name"), T.subprogram_source("text", "plain").alias("by_block"), T.subprogram_source("text", F.lit("absent")).alias("none"))
 
 
-@query("json_balanced", "SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k FROM events")
+NESTED = "concat('{{\"a\":', props, ',\"k\":', CAST(event_id AS VARCHAR(20)), '}}')"
+
+
+@query("json_balanced", f"SELECT event_id, {NESTED} AS body FROM events")
 def _(get):
-    """The first balanced object of a free text, read as JSON."""
-    wrapped = F.concat(F.lit("Result: "), "props", F.lit(" done."))
-    return get("events").select("event_id", F.get_json_object(F.regexp_extract(wrapped, r"\{[^{}]*\}", 0), "$.k").cast("long").alias("k"))
+    """The first balanced object: of a text that is one, of a fenced block, and of prose around it."""
+    body = F.concat(F.lit('{"a":'), "props", F.lit(',"k":'), F.col("event_id").cast("string"), F.lit("}"))
+    prose = F.concat(F.lit("Result } is "), body, F.lit(" and {no} more."))
+    fenced = F.concat(F.lit("See {x}:\n```json\n"), body, F.lit("\n```\nend"))
+    text = F.when(F.col("event_id") % 3 == 0, prose).when(F.col("event_id") % 3 == 1, fenced).otherwise(F.concat(F.lit(" "), body))
+    return get("events").select("event_id", T.json_object(text).alias("body"))
 
 
 @query("safe_names", "SELECT page_id, regexp_replace(url, '[^A-Za-z0-9._-]', '_', 'g') AS file FROM pages")
@@ -152,3 +161,55 @@ def _(get):
 def _(get):
     uri = F.concat(F.lit("db://usr:pw"), F.col("page_id").cast("string"), F.lit("@"), F.regexp_extract("url", "^https?://([^/]*)", 1))
     return get("pages").select("page_id", T.masked_uri(uri).alias("uri"))
+
+
+def unit_facts(get):
+    """Facts of all units, by the parser of source text."""
+    text = F.concat("head", "body_named", F.lit("\n"), "body_plain", F.lit("\nEND;"))
+    return plsql.facts(get("unit_source").select(F.col("id").cast("string").alias("path"), text.alias("text")))
+
+
+KEY, NAT = "CAST(s_suppkey % {0} AS VARCHAR(9))", "CAST(s_nationkey{0} AS VARCHAR(9))"
+USES = " UNION ALL ".join(
+    f"SELECT concat('{proc}_', CAST(s_suppkey AS VARCHAR(20))) AS proc, concat('{prefix}', {n}) AS name, '{op}' AS op, '{where}' AS context FROM supplier"
+    for proc, prefix, n, op, where in (
+        ("RUN", "HR.EMP_", NAT.format(""), "SELECT", ""), ("RUN", "DEPT_", NAT.format(" % 5"), "SELECT", ""), ("RUN", "ITEMS_", KEY.format(7), "SELECT", "IN"),
+        ("RUN", "STOCK_", KEY.format(5), "UPDATE", ""), ("RUN", "LOG_", KEY.format(3), "INSERT", ""), ("FIX", "OLD_", KEY.format(4), "DELETE", ""),
+    )
+)
+
+
+@query("source_tables", f"SELECT name, array_to_string(list_sort(list(DISTINCT op)), ',') AS ops, count(DISTINCT proc) AS n_procs, count(*) AS n_uses FROM ({USES}) GROUP BY name")
+def _(get):
+    """From source text to the roll-up of its tables."""
+    t = unit_facts(get).filter("kind = 'table'")
+    return t.groupBy("name").agg(F.array_join(F.sort_array(F.collect_set("op")), ",").alias("ops"), F.countDistinct("proc").alias("n_procs"), F.count("*").alias("n_uses"))
+
+
+@query("source_contexts", f"SELECT op, context, count(*) AS n FROM ({USES}) GROUP BY op, context")
+def _(get):
+    """The subquery that a table stands in."""
+    return unit_facts(get).filter("kind = 'table'").groupBy("op", F.col("detail").alias("context")).agg(F.count("*").alias("n"))
+
+
+@query("source_calls", f"SELECT concat('PKG_', {KEY.format(6)}, '.GO') AS name, '2' AS args, count(*) AS n FROM supplier GROUP BY 1 UNION ALL SELECT 'F', '2', count(*) FROM supplier")
+def _(get):
+    return unit_facts(get).filter("kind = 'call'").groupBy("name", F.col("detail").alias("args")).agg(F.count("*").alias("n"))
+
+
+@query("source_sequences", f"SELECT concat('SEQ_', {KEY.format(4)}) AS name, 'NEXTVAL' AS op, count(*) AS n FROM supplier GROUP BY 1")
+def _(get):
+    return unit_facts(get).filter("kind = 'sequence'").groupBy("name", "op").agg(F.count("*").alias("n"))
+
+
+@query("source_joins", f"SELECT concat('DEPT_', {NAT.format(' % 5')}) AS name, 'LEFT OUTER' AS type, count(*) AS n FROM supplier GROUP BY 1")
+def _(get):
+    return unit_facts(get).filter("kind = 'join'").groupBy("name", F.col("op").alias("type")).agg(F.count("*").alias("n"))
+
+
+@query("source_statements", """SELECT proc, statements FROM (SELECT concat('RUN_', CAST(s_suppkey AS VARCHAR(20))) AS proc, 'INSERT:1,SELECT:2,UPDATE:1' AS statements FROM supplier
+    UNION ALL SELECT concat('FIX_', CAST(s_suppkey AS VARCHAR(20))), 'DELETE:1' FROM supplier)""")
+def _(get):
+    """Histogram of statements by procedure."""
+    n = unit_facts(get).filter("kind = 'statement'").groupBy("proc", "op").agg(F.count("*").alias("n"))
+    return n.groupBy("proc").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "op", F.col("n").cast("string")))), ",").alias("statements"))

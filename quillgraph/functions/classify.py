@@ -10,13 +10,22 @@ ROLL_UP_PRIORITY = ("COUNT", "AGGREGATE", "READ", "DELETE", "UPDATE", "WRITE", "
 DETECT_PRIORITY = ("READ", "COUNT", "WRITE", "UPDATE", "DELETE", "AGGREGATE")
 # Prefixes of method names by operation, in order of trial.
 OP_PREFIXES: dict[str, tuple[str, ...]] = {
-    "READ": ("find", "get", "read", "query", "search", "fetch", "load", "retrieve", "distinct", "stream", "list", "select", "lookup"),
-    "WRITE": ("save", "insert", "persist", "create", "add", "store", "execute"),
-    "UPDATE": ("update", "modify", "set", "patch", "edit", "change", "replace", "upsert", "merge"),
-    "DELETE": ("delete", "remove", "clear", "purge", "drop"),
-    "AGGREGATE": ("aggregate", "pipeline", "group", "bucket"),
-    "COUNT": ("count", "exists"),
+    "READ": ("find", "get", "read", "query", "search", "fetch", "load", "retrieve", "distinct", "stream", "scroll", "watch", "changeStream", "findById", "findOne", "findAll", "findAllById", "list", "select", "resolve", "lookup", "cursor", "toList", "iterate"),
+    "WRITE": ("save", "insert", "persist", "create", "add", "store", "bulkWrite", "insertMany", "insertAll", "saveAll", "addInsert", "execute", "insertOne", "createCollection", "createIndex", "renameCollection", "ensureIndex", "putDocument", "writeDocument"),
+    "UPDATE": ("update", "modify", "set", "patch", "edit", "change", "replace", "upsert", "updateMany", "updateFirst", "updateMulti", "findAndModify", "findAndReplace", "addUpdate", "replaceOne", "merge", "updateOne", "findOneAndUpdate", "findOneAndReplace", "increment", "mutate"),
+    "DELETE": ("delete", "remove", "clear", "purge", "drop", "deleteMany", "deleteAll", "removeAll", "addDelete", "findAndRemove", "findAllAndRemove", "deleteOne", "findOneAndDelete", "dropCollection", "dropIndex"),
+    "AGGREGATE": ("aggregate", "aggregation", "graphLookup", "pipeline", "mapReduce", "group", "bucket", "facet", "unwind", "bucketAuto", "unionWith", "out"),
+    "COUNT": ("count", "exists", "countDocuments", "estimatedDocumentCount"),
 }
+# Ends of method names that have nothing to do with stored data, roles of data classes, and their accessors' prefixes.
+OTHER_SUFFIXES = (
+    "listener", "handler", "observer", "callback", "interceptor", "filter", "logger", "thread", "decorator", "factory", "builder", "validator", "view", "component", "panel", "frame", "dialog", "widget",
+    "timer", "scheduler", "executor", "task", "runnable", "stream", "iterator", "comparator", "converter", "mapper", "savepoint", "checkpoint", "snapshot", "backup", "context", "scope", "session", "attribute", "header",
+    "resource", "connection", "channel", "socket",
+)
+DATA_ROLES, ACCESSORS = ("ENTITY", "OTHER"), ("get", "set")
+# Segments of an archive's name that say nothing.
+FILLER_SEGMENTS = ("extension", "core", "lib", "common", "shared", "service", "module", "app")
 # Upper limits of size and performance classes.
 SIZES = (("S", 5), ("M", 20), ("L", 50))
 PERFORMANCE = (("No Impact", 0), ("Low Impact", 5), ("Medium Impact", 20))
@@ -66,12 +75,16 @@ def sql_operation(sql: Column) -> Column:
     return out
 
 
-def op_from_name(name: Column) -> Column:
-    """Operation by method-name prefix: operations in order, longer prefixes of one first."""
-    low, out = F.lower(name), None
+def op_from_name(name: Column, role: Column | None = None) -> Column:
+    """Operation by method-name prefix, operations in order; null for names that end in another purpose. In a data class (a role in
+    DATA_ROLES, or none) plain accessors are no operation; without ``role`` the class is taken for one that works on data."""
+    low = F.lower(name)
+    out = F.when(low.rlike("(%s)$" % "|".join(OTHER_SUFFIXES)), F.lit(None))
+    data = F.lit(False) if role is None else role.isNull() | role.isin(*DATA_ROLES)
+    begins = lambda words: low.rlike("^(%s)" % "|".join(w.lower() for w in words)) if words else F.lit(False)
     for op, prefixes in OP_PREFIXES.items():
-        hit = low.rlike("^(%s)" % "|".join(sorted(prefixes, key=lambda p: (-len(p), p))))
-        out = F.when(hit, op) if out is None else out.when(hit, op)
+        plain = begins([w for w in prefixes if w not in ACCESSORS])
+        out = out.when(plain | (begins([w for w in prefixes if w in ACCESSORS]) & ~data), op)
     return out
 
 
@@ -125,3 +138,15 @@ def likely_collection(name: Column) -> Column:
 def variable_category(data_type: Column) -> Column:
     u = F.upper(data_type)
     return F.when(u.endswith("%ROWTYPE"), "ROWTYPE").when(u.endswith("%TYPE"), "TYPE").when(u.rlike(r"\b(TABLE|VARRAY)\b|^T_.*(TAB|LIST)$"), "COLLECTION").otherwise("PLAIN")
+
+
+def view_name(name: Column) -> Column:
+    """Whether a collection's name marks a view."""
+    u = F.upper(name)
+    return u.contains("_V_") | u.contains("_VI_") | u.startswith("SB_")
+
+
+def archive_label(archive: Column) -> Column:
+    """An archive's name without version, suffix and filler segments, its words capitalised."""
+    words = F.split(F.regexp_replace(archive, r"(-\d[\d.]*(-SNAPSHOT)?)?\.jar$", ""), "-")
+    return F.array_join(F.transform(F.filter(words, lambda x: ~F.lower(x).isin(*FILLER_SEGMENTS)), F.initcap), " ")

@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-
-NAME = r"([A-Za-z_][\w$#]*(?:\.[A-Za-z_][\w$#]*)?)"
-# Words after which a table name stands, and words that are none.
-BEFORE_TABLE = (r"\bFROM", r"\bJOIN", r"\bINTO", r"\bUPDATE", r"\bDELETE\s+FROM", r"\bMERGE\s+INTO", r"\bTRUNCATE\s+TABLE", r"\bUSING")
-STOP_WORDS = ("SELECT", "SET", "WHERE", "VALUES", "DUAL", "ON", "TABLE", "FROM", "LATERAL", "UNNEST")
+from pyspark.sql.types import StringType
+
+NAME = r"([A-Za-z_][\w$#]*(?:\.[A-Za-z_][\w$#]*)*)"
+# Words after which a table or procedure name stands, and words that are no name.
+BEFORE_TABLE = (r"\bFROM", r"\bJOIN", r"\bINSERT\s+INTO", r"\bUPDATE", r"\bDELETE\s+FROM", r"\bMERGE\s+INTO", r"\bTRUNCATE(?:\s+TABLE)?")
+BEFORE_PROCEDURE = (r"\bCALL", r"\bEXEC(?:UTE)?", r"\bBEGIN")
+STOP_WORDS = (
+    "SELECT", "FROM", "WHERE", "AND", "OR", "NOT", "IN", "ON", "AS", "SET", "VALUES", "INTO", "JOIN", "INNER", "OUTER", "LEFT", "RIGHT", "CROSS", "FULL", "GROUP", "ORDER", "HAVING", "LIMIT", "OFFSET",
+    "UNION", "ALL", "DISTINCT", "EXISTS", "BETWEEN", "LIKE", "IS", "NULL", "TRUE", "FALSE", "CASE", "WHEN", "THEN", "ELSE", "END", "BEGIN", "CALL", "EXEC", "EXECUTE",
+    "CREATE", "ALTER", "DROP", "TABLE", "INDEX", "VIEW", "SCHEMA", "INSERT", "UPDATE", "DELETE", "MERGE", "TRUNCATE", "WITH", "FETCH", "NEXT", "ROWS", "ONLY", "DUAL", "COUNT", "SUM", "AVG",
+    "MIN", "MAX", "ASC", "DESC", "CASCADE", "RESTRICT", "CONSTRAINT", "PRIMARY", "KEY", "FOREIGN", "REFERENCES", "UNIQUE", "CHECK", "DEFAULT", "AUTO_INCREMENT", "SERIAL", "SEQUENCE", "RETURNING",
+)
 PIPELINE_STAGES = ("$match", "$group", "$project", "$sort", "$limit", "$skip", "$lookup", "$graphLookup", "$unwind", "$out", "$merge", "$unionWith", "$count", "$facet", "$bucket", "$addFields", "$replaceRoot", "$sample")
 
 
@@ -16,17 +27,23 @@ def all_matches(text: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
-def tables(sql: Column) -> Column:
-    """Distinct upper-cased table names after the words that introduce one, sorted."""
-    found = F.flatten(F.array(*[all_matches(sql, rf"(?i){word}\s+{NAME}") for word in BEFORE_TABLE]))
+def named_after(sql: Column, words: tuple[str, ...]) -> Column:
+    """Distinct upper-cased names after words that introduce one, sorted. The last part of a name says whether it is one: two characters
+    or more, and no keyword."""
+    found = F.flatten(F.array(*[all_matches(sql, rf"(?i){word}\s+{NAME}") for word in words]))
     upper = F.array_distinct(F.transform(found, F.upper))
-    return F.array_sort(F.filter(upper, lambda x: (F.char_length(x) >= 2) & ~x.isin(*STOP_WORDS)))
+    last = lambda x: F.substring_index(x, ".", -1)
+    return F.array_sort(F.filter(upper, lambda x: (F.char_length(last(x)) >= 2) & ~last(x).isin(*STOP_WORDS)))
+
+
+def tables(sql: Column) -> Column:
+    """Table names of a statement."""
+    return named_after(sql, BEFORE_TABLE)
 
 
 def procedures(sql: Column) -> Column:
     """Procedure names of call escapes, CALL, EXEC and BEGIN."""
-    found = F.flatten(F.array(*[all_matches(sql, rf"(?i)\b{word}\s+{NAME}") for word in ("CALL", "EXEC(?:UTE)?", "BEGIN")]))
-    return F.array_sort(F.array_distinct(F.transform(found, F.upper)))
+    return named_after(sql, BEFORE_PROCEDURE)
 
 
 def sequences(sql: Column) -> Column:
@@ -105,5 +122,55 @@ def filled(template: Column, values: dict[str, Column]) -> Column:
     return template
 
 
+@F.pandas_udf(StringType())
+def json_object(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The JSON object of a free text: the whole text if it begins with one, else a fenced block, else the first balanced braces."""
+
+    def of(text: str | None) -> str | None:
+        text = (text or "").strip()
+        if text.startswith("{"):
+            return text
+        if fenced := re.search(r"```json[^\n]*\n(.+?)```", text, re.S):
+            return fenced[1].strip()
+        depth = 0
+        for m in re.finditer("[{}]", text):
+            if not depth:
+                if m[0] == "}":
+                    continue
+                begin = m.start()
+            depth += 1 if m[0] == "{" else -1
+            if not depth:
+                return text[begin : m.end()]
+        return None
+
+    for x in texts:
+        yield x.map(of, na_action=None)
+
+
+@F.pandas_udf(StringType())
+def subprogram_source(rows: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """The source of a procedure or function in a unit: from its header to the END that names it, else to the END of its first block."""
+
+    def of(source: str | None, name: str | None) -> str | None:
+        if not source or not name or not (head := re.search(rf"(?i)\b(?:PROCEDURE|FUNCTION)\s+{re.escape(name)}\b", source)):
+            return None
+        rest = source[head.start() :]
+        if named := re.search(rf"(?is)\bEND\s+{re.escape(name)}\s*;", rest):
+            return rest[: named.end()]
+        depth = 0
+        for m in re.finditer(r"(?i)\b(?:BEGIN|END)\b", rest):
+            opens = m[0].upper() == "BEGIN"
+            if not opens and not depth:
+                continue
+            depth += 1 if opens else -1
+            if not depth:
+                stop = rest.find(";", m.end())
+                return rest[: stop + 1 if stop >= 0 else m.end()]
+        return None
+
+    for source, name in rows:
+        yield pd.Series([of(s, n) for s, n in zip(source, name, strict=True)], dtype=object)
+
+
 def safe_name(name: Column) -> Column:
     return F.regexp_replace(name, "[^A-Za-z0-9._-]", "_")

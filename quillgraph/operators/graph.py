@@ -6,6 +6,8 @@ stored in the shared folder, so a plan never grows with the depth.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,16 +16,16 @@ from ..functions.classify import ROLL_UP_PRIORITY, rank_of
 from ..plans.lineage import cut
 
 
-def bfs(edges: DataFrame, roots: DataFrame, max_depth: int = 20) -> DataFrame:
-    """``root, node, depth``: least number of edges from each ``roots(root)``; a root is at depth 0."""
+def bfs(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """``root, node, depth``: least number of edges from each ``roots(root)``; a root is at depth 0. ``max_depth`` is a limit of the caller's."""
     edges = edges.select("src", "dst").distinct()
     seen = frontier = cut(roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")).distinct())
-    for depth in range(1, max_depth + 1):
+    for depth in itertools.count(1) if max_depth is None else range(1, max_depth + 1):
         step = frontier.join(edges, frontier["node"] == edges["src"]).select("root", F.col("dst").alias("node")).distinct()
         frontier = cut(step.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)).select("root", "node", "depth"))
         if frontier.isEmpty():
             break
-        seen = seen.unionByName(frontier)
+        seen = cut(seen.unionByName(frontier)) if depth % 16 == 0 else seen.unionByName(frontier)
     return seen
 
 
@@ -80,14 +82,27 @@ def flatten(tree: DataFrame) -> DataFrame:
     return numbered.join(kids, ["root", "path"], "left").select("root", "n", "node", "depth", F.when(F.col("circular"), 0).otherwise(F.coalesce("n_children", F.lit(0))).alias("n_children"))
 
 
+def cyclic_core(edges: DataFrame) -> DataFrame:
+    """``src, dst`` without what no cycle can hold: edges from a node that none leads to, or to one that leads nowhere, again and again."""
+    left = cut(edges.select("src", "dst").distinct())
+    n = left.count()
+    while n:
+        kept = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+        left, before = cut(kept), n
+        n = left.count()
+        if n == before:
+            break
+    return left
+
+
 def in_cycle(edges: DataFrame) -> DataFrame:
-    """``node`` that reaches itself."""
-    return closure(edges).filter("src = dst").select(F.col("src").alias("node"))
+    """``node`` that reaches itself. Only the cyclic core is closed."""
+    return closure(cyclic_core(edges)).filter("src = dst").select(F.col("src").alias("node"))
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
-    """``node, comp``: comp is the least node of those that reach each other."""
-    c = closure(edges).select("src", "dst")
+    """``node, comp``: comp is the least node of those that reach each other. Only the cyclic core is closed."""
+    c = closure(cyclic_core(edges)).select("src", "dst")
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
     mutual = c.join(c.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"], "left_semi")
     low = mutual.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("low"))
@@ -99,8 +114,7 @@ def edges_in_components(edges: DataFrame) -> DataFrame:
     s = strong_components(edges)
     e = edges.select("src", "dst").distinct()
     both = e.join(s.select(F.col("node").alias("src"), F.col("comp").alias("a")), "src").join(s.select(F.col("node").alias("dst"), F.col("comp").alias("b")), "dst")
-    loops = F.col("src") == F.col("dst")
-    return both.select("src", "dst", ((F.col("a") == F.col("b")) & (loops | (F.col("src") != F.col("dst")))).alias("back"))
+    return both.select("src", "dst", (F.col("a") == F.col("b")).alias("back"))
 
 
 def subtree_rollup(edges: DataFrame, facts: DataFrame) -> DataFrame:

@@ -43,7 +43,7 @@ def ops_lines(access: DataFrame, *keys: str) -> DataFrame:
 
 def call_group(calls: DataFrame) -> DataFrame:
     """Calls by caller and target, built-ins left out: count and lines."""
-    return calls.filter("type <> 'BUILTIN'").groupBy("caller", "callee").agg(F.first("type").alias("type"), F.count("*").alias("n_calls"), F.array_join(F.sort_array(F.collect_set("line")), ",").alias("lines"))
+    return calls.filter("type <> 'BUILTIN'").groupBy("caller", "callee").agg(F.min_by("type", "ord").alias("type"), F.count("*").alias("n_calls"), F.array_join(F.sort_array(F.collect_set("line")), ",").alias("lines"))
 
 
 def calls_out_split(calls: DataFrame) -> DataFrame:

@@ -53,7 +53,26 @@ VIEWS: dict[str, str] = {
         (6, 'TRUNCATE TABLE tmp_load'), (7, '{{call pkg_billing.close_period(?, ?)}}'), (8, 'BEGIN pkg_admin.refresh_all(1); END;'),
         (9, 'EXEC sync_accounts'), (10, 'SELECT finance.invoice_seq.CURRVAL, seq_two.nextval FROM DUAL'),
         (11, 'SELECT a.x FROM t1 a, t2 b WHERE a.k = b.k(+)'), (12, '  with q as (select 1 from base_tbl) select * from q left join extra_tbl x on 1 = 1'),
-        (13, 'CALL proc_only()'), (14, ''), (15, 'COMMIT')) AS t(id, sql)""",
+        (13, 'CALL proc_only()'), (14, ''), (15, 'COMMIT')) AS t(id, sql)
+        UNION ALL SELECT CAST(100 + p_partkey AS INT), CASE p_partkey % 13
+        WHEN 0 THEN concat('SELECT x.a FROM ', lower(p_type), '.t', CAST(p_size AS VARCHAR(9)), ' x left join u', CAST(p_partkey % 31 AS VARCHAR(9)), ' y on x.k = y.k')
+        WHEN 1 THEN concat('insert into t', CAST(p_size AS VARCHAR(9)), ' select q from src_', lower(p_type), ' fetch first 1 rows only')
+        WHEN 2 THEN concat('UPDATE ', p_type, '_tab SET a = seq_', CAST(p_size AS VARCHAR(9)), '.NEXTVAL')
+        WHEN 3 THEN concat('DELETE FROM a.b.c', CAST(p_size AS VARCHAR(9)), ' WHERE k IN (SELECT k FROM dual)')
+        WHEN 4 THEN concat('TRUNCATE tmp_', CAST(p_size AS VARCHAR(9))) WHEN 5 THEN concat('truncate table tmp_', lower(p_type))
+        WHEN 6 THEN concat('{{? = call pkg_', lower(p_type), '.f', CAST(p_size AS VARCHAR(9)), '(?)}}')
+        WHEN 7 THEN concat('BEGIN UPDATE t', CAST(p_size AS VARCHAR(9)), ' SET a = 1; END;') WHEN 8 THEN concat('BEGIN p', CAST(p_size AS VARCHAR(9)), '.go(1); END;')
+        WHEN 9 THEN concat('MERGE INTO m', CAST(p_size AS VARCHAR(9)), ' USING n', CAST(p_size AS VARCHAR(9)), ' ON (1 = 1) WHEN MATCHED THEN UPDATE SET z = 2')
+        WHEN 10 THEN concat('EXECUTE run_', lower(p_type)) WHEN 11 THEN concat('SELECT s.q', CAST(p_size AS VARCHAR(9)), '.currval FROM DUAL, x') ELSE concat('  ', p_name) END FROM {part}""",
+    # a package body for each supplier, two procedures each: the first ends by its name, the second does not
+    "unit_source": """SELECT s_suppkey AS id, concat('run_', CAST(s_suppkey AS VARCHAR(20))) AS named, concat('fix_', CAST(s_suppkey AS VARCHAR(20))) AS plain,
+        concat('PACKAGE BODY pk', CAST(s_suppkey AS VARCHAR(20)), ' AS', chr(10)) AS head,
+        concat('PROCEDURE run_', CAST(s_suppkey AS VARCHAR(20)), ' IS', chr(10), 'BEGIN', chr(10), '  -- DELETE FROM nowhere', chr(10),
+            '  SELECT a.x INTO v FROM hr.emp_', CAST(s_nationkey AS VARCHAR(9)), ' a LEFT OUTER JOIN dept_', CAST(s_nationkey % 5 AS VARCHAR(9)), ' d ON a.k = d.k WHERE a.id IN (SELECT id FROM items_', CAST(s_suppkey % 7 AS VARCHAR(9)), ');', chr(10),
+            '  UPDATE stock_', CAST(s_suppkey % 5 AS VARCHAR(9)), ' SET q = 1 WHERE id = 3;', chr(10),
+            '  INSERT INTO log_', CAST(s_suppkey % 3 AS VARCHAR(9)), ' VALUES (seq_', CAST(s_suppkey % 4 AS VARCHAR(9)), '.NEXTVAL, ''from x'');', chr(10),
+            '  pkg_', CAST(s_suppkey % 6 AS VARCHAR(9)), '.go(1, f(2, 3));', chr(10), 'END run_', CAST(s_suppkey AS VARCHAR(20)), ';') AS body_named,
+        concat('PROCEDURE fix_', CAST(s_suppkey AS VARCHAR(20)), ' IS', chr(10), 'BEGIN', chr(10), '  BEGIN DELETE FROM old_', CAST(s_suppkey % 4 AS VARCHAR(9)), '; END;', chr(10), '  COMMIT;', chr(10), 'END;') AS body_plain FROM {supplier}""",
 }
 
 
