@@ -45,12 +45,15 @@ def _(get):
     return a.filter("sch = 'S1'").unionByName(bare).groupBy("proc", "tbl").agg(F.count("*").alias("n"))
 
 
-BUILTIN = ("error", "view")
+CALLED = """SELECT event_id, CASE event_id % 9 WHEN 0 THEN 'dbms_output' WHEN 1 THEN 'UTL_FILE' WHEN 2 THEN 'htp' WHEN 3 THEN 'sys.pk' WHEN 4 THEN concat('PKG_', event_type) WHEN 5 THEN 'MY_DBMS_X' END AS pkg,
+    CASE event_id % 5 WHEN 0 THEN 'nvl' WHEN 1 THEN 'Regexp_Instr' WHEN 2 THEN concat('run_', event_type) WHEN 3 THEN 'sql%rowcount' ELSE 'nvl3' END AS name FROM {events}"""
 
 
-@query("builtin_filter", "SELECT callee, count(*) AS n FROM {call} WHERE callee NOT IN ('error', 'view') AND callee NOT LIKE 'dbms%' GROUP BY callee")
+@query("builtin_filter", f"SELECT pkg, name, count(*) AS n FROM ({CALLED}) WHERE event_id % 9 NOT IN (0, 1, 2, 3) AND (event_id % 9 IN (4, 5) OR event_id % 5 IN (2, 4)) GROUP BY pkg, name")
 def _(get):
-    return get("call").filter(~F.col("callee").isin(*BUILTIN) & ~F.col("callee").like("dbms%")).groupBy("callee").agg(F.count("*").alias("n"))
+    """Calls without those of the database's own packages, and of its functions where no package is named."""
+    own = C.builtin_package(F.col("pkg")) | (F.col("pkg").isNull() & C.builtin_function(F.col("name")))
+    return get.sql(CALLED).filter(~own).groupBy("pkg", "name").agg(F.count("*").alias("n"))
 
 
 @query("wrapped_detect", "SELECT doc_id, regexp_matches(substring(text, 1, 300), '(?i)\\bwrapped\\b|\\b[0-9a-fA-F]{{8,}}\\b') AS wrapped FROM documents")
@@ -73,13 +76,15 @@ def _(get):
     return get("events").filter(~F.col("event_type").isin("view") & ~F.col("event_type").rlike("^(get|set|is)")).select("event_id", "event_type")
 
 
-@query("trigger_match", """SELECT DISTINCT tbl FROM {access} a JOIN (SELECT DISTINCT concat('Brand#', CAST(s_nationkey AS VARCHAR)) AS t,
-    CASE WHEN s_suppkey % 2 = 0 THEN 'DELETE' ELSE 'UPDATE' END AS ev FROM supplier) g ON g.t = a.tbl AND a.op = g.ev""")
+FIRED = "SELECT tbl, proc, CASE WHEN line = 7 THEN 'MERGE' ELSE op END AS op FROM {access}"
+TRIGGERS = "SELECT DISTINCT concat('Brand#', CAST(s_nationkey AS VARCHAR(9))) AS t, CASE s_suppkey % 3 WHEN 0 THEN 'delete or insert' WHEN 1 THEN 'UPDATE' ELSE 'INSERT' END AS event FROM {supplier}"
+
+
+@query("trigger_match", f"SELECT DISTINCT tbl, op FROM ({FIRED}) a JOIN ({TRIGGERS}) g ON g.t = a.tbl WHERE op = 'MERGE' OR (op = 'DELETE' AND event = 'delete or insert') OR (op = 'UPDATE' AND event = 'UPDATE')")
 def _(get):
-    """Tables with a trigger whose event one of the operations fires."""
-    trig = get("supplier").select(F.concat(F.lit("Brand#"), F.col("s_nationkey").cast("string")).alias("t"), F.when(F.col("s_suppkey") % 2 == 0, "DELETE").otherwise("UPDATE").alias("ev")).distinct()
-    a = get("access").select("tbl", "op").distinct()
-    return a.join(trig, (F.col("t") == F.col("tbl")) & F.col("ev").contains(F.col("op")), "left_semi").select("tbl").distinct()
+    """Operations on tables that fire a trigger."""
+    a = get.sql(FIRED).select("tbl", "op").distinct()
+    return a.join(get.sql(TRIGGERS), (F.col("t") == F.col("tbl")) & C.fires(F.col("event"), F.col("op")), "left_semi")
 
 
 @query("dml_tables", "SELECT proc, tbl FROM {access} GROUP BY proc, tbl HAVING count(*) FILTER (op IN ('UPDATE', 'DELETE')) > 0")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import dispatch
 from ..operators import resolve as R
 from ..operators import similar
 from ..registry import query
@@ -69,10 +70,37 @@ def _(get):
     return closure(get("edge_dag")).filter("startswith(dst, 'C')").groupBy(F.col("src").alias("base")).agg(F.count("*").alias("n_impl"), F.min("depth").alias("nearest"))
 
 
-@query("dispatch_narrow", """SELECT endpoint, collection, source FROM (SELECT *, row_number() OVER (PARTITION BY endpoint ORDER BY CASE source WHEN 'REPOSITORY_MAPPING' THEN 1 WHEN 'STRING_LITERAL' THEN 2 ELSE 3 END, ord, collection) AS n FROM {usage}) WHERE n = 1""")
+IMPLS = """SELECT concat('I', CAST(s_nationkey AS VARCHAR(9))) AS iface, concat('app.p', CAST(s_suppkey % 3 AS VARCHAR(9)), '.Svc', CAST(s_suppkey AS VARCHAR(9))) AS impl, concat('Svc', CAST(s_suppkey AS VARCHAR(9))) AS simple,
+    s_suppkey % 4 = 1 AS primary, s_suppkey AS ord FROM {supplier}"""
+BEANS = "SELECT concat('bean', CAST(s_suppkey % 10 AS VARCHAR(9))) AS name, concat('app.p', CAST(min(s_suppkey) % 3 AS VARCHAR(9)), '.Svc', CAST(min(s_suppkey) AS VARCHAR(9))) AS bean FROM {supplier} GROUP BY 1"
+ASKED = """SELECT c_custkey AS k, concat('I', CAST(c_nationkey AS VARCHAR(9))) AS iface, CASE c_custkey % 6 WHEN 0 THEN NULL WHEN 1 THEN concat('mySvc', CAST(c_custkey % 100 AS VARCHAR(9))) WHEN 2 THEN 'svc' WHEN 3 THEN concat('bean', CAST(c_custkey % 10 AS VARCHAR(9))) ELSE 'other' END AS field,
+    CASE c_custkey % 7 WHEN 0 THEN concat('svc', CAST(c_custkey % 100 AS VARCHAR(9))) WHEN 1 THEN concat('bean', CAST(c_custkey % 10 AS VARCHAR(9))) WHEN 2 THEN concat('VC', CAST(c_custkey % 100 AS VARCHAR(9))) WHEN 3 THEN concat('Svc', CAST(c_custkey % 100 AS VARCHAR(9))) END AS qualifier FROM {customer}"""
+
+
+@query("dispatch_narrow", f"""WITH i AS ({IMPLS}), b AS ({BEANS}), c AS ({ASKED}), m AS (
+    SELECT k, impl, ord, 1 AS rule FROM c JOIN i USING (iface) WHERE field IS NOT NULL AND (qualifier = concat(lower(simple[1]), simple[2:]) OR ends_with(impl, concat('.', qualifier)))
+    UNION ALL SELECT k, impl, ord, 2 FROM c JOIN i USING (iface) JOIN b ON b.name = qualifier AND b.bean = impl WHERE field IS NOT NULL
+    UNION ALL SELECT k, impl, ord, 3 FROM c JOIN i USING (iface) WHERE field IS NOT NULL AND (contains(lower(simple), lower(qualifier)) OR ends_with(lower(impl), concat('.', lower(qualifier))))
+    UNION ALL SELECT k, impl, ord, 4 FROM c JOIN i USING (iface) WHERE length(field) > 3 AND (contains(lower(simple), lower(field)) OR contains(lower(field), lower(simple)))
+    UNION ALL SELECT k, impl, ord, 5 FROM c JOIN i USING (iface) JOIN b ON b.name = field AND b.bean = impl
+    UNION ALL SELECT k, impl, ord, 6 FROM c JOIN i USING (iface) WHERE i.primary AND (SELECT count(*) FROM i x WHERE x.iface = c.iface AND x.primary) = 1)
+    SELECT c.k, impl, rule, CASE rule WHEN 4 THEN 'HEURISTIC' WHEN 6 THEN 'PRIMARY' WHEN NULL THEN NULL ELSE CASE WHEN rule IS NOT NULL THEN 'QUALIFIED' END END AS how
+    FROM c LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY rule, ord, impl) AS n FROM m) WHERE n = 1) t ON t.k = c.k""")
+def _(get):
+    """Calls through an interface to one implementation, by six rules in order."""
+    return dispatch.narrow(get.sql(ASKED), get.sql(IMPLS), get.sql(BEANS))
+
+
+CLASSES = "SELECT concat('K', CAST(p_partkey AS VARCHAR(20))) AS src, concat('K', CAST(CAST(floor(p_partkey / 2) AS BIGINT) AS VARCHAR(20))) AS dst FROM {part} WHERE p_partkey > 1"
+METHODS = "SELECT concat('K', CAST(p_partkey AS VARCHAR(20))) AS owner, concat('m', CAST(p_partkey % 9 AS VARCHAR(9))) AS method FROM {part}"
+INVOKED = "SELECT DISTINCT concat('K', CAST(p_partkey AS VARCHAR(20))) AS cls, concat('m', CAST(p_size % 10 AS VARCHAR(9))) AS method FROM {part}"
+
+
+@query("method_owner", f"""WITH RECURSIVE c AS ({CLASSES}), m AS ({METHODS}), q AS ({INVOKED}), u(cls, node, up) AS (SELECT DISTINCT cls, cls, 0 FROM q UNION ALL SELECT u.cls, c.dst, u.up + 1 FROM u JOIN c ON c.src = u.node)
+    SELECT q.cls, q.method, f.owner, f.up FROM q LEFT JOIN (SELECT u.cls, m.method, arg_min(m.owner, u.up) AS owner, min(u.up) AS up FROM u JOIN m ON m.owner = u.node GROUP BY u.cls, m.method) f ON f.cls = q.cls AND f.method = q.method""")
 def _(get):
-    rule = F.when(F.col("source") == "REPOSITORY_MAPPING", 1).when(F.col("source") == "STRING_LITERAL", 2).otherwise(3)
-    return R.pick_first(get("usage"), ["endpoint"], rule, "ord", "collection").select("endpoint", "collection", "source")
+    """The class up the superclass chain that declares a called method."""
+    return dispatch.declared_by(get.sql(INVOKED), get.sql(CLASSES), get.sql(METHODS))
 
 
 @query("event_connect", """WITH RECURSIVE s(sub, base) AS (SELECT DISTINCT dst, src FROM {edge_cyc} UNION SELECT s.sub, e.src FROM s JOIN {edge_cyc} e ON e.dst = s.base),

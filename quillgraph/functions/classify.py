@@ -24,6 +24,16 @@ OTHER_SUFFIXES = (
     "resource", "connection", "channel", "socket",
 )
 DATA_ROLES, ACCESSORS = ("ENTITY", "OTHER"), ("get", "set")
+# Packages and functions that a database brings along.
+BUILTIN_PREFIXES = ("DBMS_", "UTL_", "SYS.")
+BUILTIN_PACKAGES = ("STANDARD", "APEX_JSON", "APEX_WEB_SERVICE", "HTF", "HTP", "OWA_UTIL")
+BUILTIN_FUNCTIONS = (
+    "NVL", "NVL2", "DECODE", "TO_CHAR", "TO_DATE", "TO_NUMBER", "TO_TIMESTAMP", "SUBSTR", "INSTR", "LENGTH", "REPLACE", "TRIM", "LTRIM", "RTRIM", "UPPER", "LOWER", "INITCAP", "LPAD", "RPAD",
+    "ROUND", "TRUNC", "MOD", "ABS", "CEIL", "FLOOR", "POWER", "SQRT", "SYSDATE", "SYSTIMESTAMP", "CURRENT_DATE", "CURRENT_TIMESTAMP", "ADD_MONTHS", "MONTHS_BETWEEN", "LAST_DAY", "NEXT_DAY", "EXTRACT",
+    "COALESCE", "NULLIF", "GREATEST", "LEAST", "CASE", "CAST", "COUNT", "SUM", "AVG", "MIN", "MAX", "LISTAGG", "ROW_NUMBER", "RANK", "DENSE_RANK", "ROWNUM", "ROWID", "RAISE_APPLICATION_ERROR",
+    "SQL%ROWCOUNT", "SQL%FOUND", "SQL%NOTFOUND", "SQLCODE", "SQLERRM", "USER", "SYS_CONTEXT", "REGEXP_LIKE", "REGEXP_REPLACE", "REGEXP_SUBSTR", "REGEXP_INSTR", "XMLTYPE", "XMLELEMENT", "XMLFOREST",
+    "XMLAGG", "XMLQUERY", "EXISTSNODE", "CONCAT",
+)
 # Segments of an archive's name that say nothing.
 FILLER_SEGMENTS = ("extension", "core", "lib", "common", "shared", "service", "module", "app")
 # Upper limits of size and performance classes.
@@ -150,3 +160,22 @@ def archive_label(archive: Column) -> Column:
     """An archive's name without version, suffix and filler segments, its words capitalised."""
     words = F.split(F.regexp_replace(archive, r"(-\d[\d.]*(-SNAPSHOT)?)?\.jar$", ""), "-")
     return F.array_join(F.transform(F.filter(words, lambda x: ~F.lower(x).isin(*FILLER_SEGMENTS)), F.initcap), " ")
+
+
+def builtin_package(name: Column) -> Column:
+    """Whether a package is the database's own; null is not."""
+    u = F.upper(name)
+    hit = u.isin(*BUILTIN_PACKAGES)
+    for prefix in BUILTIN_PREFIXES:
+        hit = hit | u.startswith(prefix)
+    return F.coalesce(hit, F.lit(False))
+
+
+def builtin_function(name: Column) -> Column:
+    """Whether a function is the database's own; null is not."""
+    return F.coalesce(F.upper(name).isin(*BUILTIN_FUNCTIONS), F.lit(False))
+
+
+def fires(event: Column, op: Column) -> Column:
+    """Whether an operation fires a trigger of an event: a merge fires any, a query none."""
+    return (op == "MERGE") | ((op != "SELECT") & F.upper(event).contains(op))
