@@ -13,8 +13,10 @@ Tokens: words, A-Z lower-cased if ``fold``, then one end; a text's first token f
 order is the continuation distribution, interpolated with the uniform one over the vocabulary and one unknown word; an unknown
 first word leaves the lower order alone. With too few counts of counts for a discount, it is 0.75 * k below k = 3, else 2.25.
 
-Null and empty texts are an end alone. Repeated rows count each time. No training text at all: every word is unknown and has
-the probability 1. Extra columns are not read.
+Null and empty texts are an end alone. Repeated rows count each time; words that are equally frequent need no order, as ids go by
+hash. Very long texts are counted and scored whole, in memory of the order of the text. A null id is scored, and held out as the
+empty id would be. No training text at all: every word is unknown and has the probability 1. Empty tables give empty results.
+Extra columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -6,8 +6,9 @@ hundredths or more is a match. With d for that, the sizes of two such sets are w
 rules out most templates without comparing. A match also shares d / (2 - d) of the template's bigrams at least, so a text with none
 of the words that touch the remaining share cannot match and is passed over whole: both bounds lose nothing.
 
-Null and empty texts match nothing. Repeated rows give repeated results; units that occur twice in a text count twice. Ties
-between templates are all reported. Empty tables give empty results. Extra columns are not read.
+Null and empty texts match nothing. A very long text is split whole, in memory of the order of the text. A coefficient exactly at the limit
+matches. Repeated rows give repeated results; units that occur twice in a text count twice. Ties between templates are all
+reported. A null id stays null. Empty tables give empty results. Extra columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -7,7 +7,9 @@ all languages and rules (Bonferroni); within a rule cutoffs are tried from the h
 further split. A language with too few labels for any cutoff has no rule, and its texts are kept.
 
 Null texts have no words. Repeated ids count as rows; a label given several times counts as good only if all say so; null
-labels and null ids of labels say nothing. Empty tables give empty results. Extra columns are not read.
+labels and null ids of labels say nothing. A share exactly at a cutoff is kept; of several cutoffs that hold the risk the lowest counts. Very
+long texts are measured whole, in memory of the order of the text. Empty tables give empty results. Extra columns, whatever
+their names, are not read.
 """
 
 from __future__ import annotations

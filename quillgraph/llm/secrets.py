@@ -10,8 +10,9 @@ spread of REFERENCE at the shortest length of each band; longer ordinary runs lo
 A string's p-value is the normal tail below its log score, with the spread widened by WIDER as that tail is heavier. False
 discoveries are held by the Benjamini-Hochberg rule within each encoding and band of lengths.
 
-Places are code points, end exclusive. Null and empty texts have no spans. Repeated rows give repeated results. Empty
-tables give empty results. Extra columns are not read.
+Places are code points, end exclusive. Null and empty texts have no spans. Very long texts and runs are whole, in memory of the order
+of the text. A score at the cutoff counts as random; overlapping spans of different kinds are all reported, and masked as one.
+Repeated rows give repeated results. A null id stays null. Empty tables give empty results. Extra columns, whatever their names, are not read; ``redacted`` keeps them.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .columns import let, match_spans
@@ -142,13 +144,11 @@ def _scored(src: DataFrame, *more: str) -> DataFrame:
 def cutoffs(scored: DataFrame, *, rate: float = RATE) -> DataFrame:
     """``signs, band, score``: the highest score that counts as random. Counts by score are bounded, whatever the corpus."""
     tally = scored.select(F.explode("candidates").alias("x")).groupBy("x.signs", "x.band", "x.score").agg(F.count("*").alias("n"))
-    tally.createOrReplaceTempView("_secret_scores")
     below = ", ".join(f"{math.erfc(-z / 100 / math.sqrt(2)) / 2!r}D" for z in range(LOWEST, 1))
-    return scored.sparkSession.sql(f"""
-        SELECT signs, band, max(score) AS score FROM (
-          SELECT signs, band, score, element_at(array({below}), score - {LOWEST} + 1) AS p, sum(n) OVER w AS at, sum(n) OVER f AS total
-          FROM _secret_scores WINDOW w AS (PARTITION BY signs, band ORDER BY score ROWS UNBOUNDED PRECEDING), f AS (PARTITION BY signs, band))
-        WHERE p <= {rate} * at / total GROUP BY signs, band""")
+    whole = W.partitionBy("signs", "band")
+    upto = whole.orderBy("score").rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranked = tally.select("signs", "band", "score", F.expr(f"element_at(array({below}), score - {LOWEST} + 1)").alias("p"), F.sum("n").over(upto).alias("at"), F.sum("n").over(whole).alias("total"))
+    return ranked.filter(F.col("p") <= F.lit(rate) * F.col("at") / F.col("total")).groupBy("signs", "band").agg(F.max("score").alias("score"))
 
 
 def _text(spans: Column) -> Column:

@@ -6,7 +6,8 @@ cycle walking back into the range, permutes the numbers. Row ``r`` goes to shard
 way from (seed, rows, shards) alone, without the table. Law: ``rows``.
 
 A null text has size 1 and the CRC of no bytes; a null id sorts first; rows alike in every read column are alike in the
-result, whichever of them gets which number. An empty table gives an empty result. Extra columns are not read.
+result, whichever of them gets which number. The length of a text has no bearing on memory: only its size and CRC are kept. An empty
+table gives an empty result. Extra columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

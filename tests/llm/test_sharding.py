@@ -39,3 +39,37 @@ def test_shards_are_level_and_slots_have_no_gaps(spark):
 
 def test_empty_table(spark):
     assert sharding.shard(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_shards_against_a_plain_loop(spark):
+    """Order, walk and cut made anew: a Feistel network over whole numbers, one row at a time."""
+    mask = 2**64 - 1
+
+    def mix(x, key):
+        x ^= key
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & mask
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & mask
+        return x ^ (x >> 31)
+
+    def walk(x, n, seed):
+        bits = max(2, (n - 1).bit_length())
+        b = bits - bits // 2
+        a = bits - b
+        while True:
+            left, right = x >> b, x & ((1 << b) - 1)
+            for k in range(6):
+                key = ((seed * 2 + 1) * 0x9E3779B97F4A7C15 + k * 0xD1B54A32D192ED03) & mask
+                if k % 2:
+                    left ^= mix(right, key) & ((1 << a) - 1)
+                else:
+                    right ^= mix(left, key) & ((1 << b) - 1)
+            x = (left << b) | right
+            if x < n:
+                return x
+
+    rows = [(i * 37 % 211, "t" * (i % 50)) for i in range(211)] + [(5, None), (5, "x" * 100_000)]
+    order = sorted((i, zlib.crc32((t or "").encode()), len((t or "").encode()) + 1) for i, t in rows)
+    for seed in (0, 9):
+        want = sorted((i, size, crc, *divmod(walk(k, len(rows), seed), 16)[::-1]) for k, (i, crc, size) in enumerate(order))
+        got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 16, seed=seed).collect()
+        assert sorted((r.doc_id, r.size, r.text_crc32, r.shard, r.slot) for r in got) == want
