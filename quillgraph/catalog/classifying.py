@@ -87,13 +87,14 @@ def _(get):
     return rows.select("v", C.variable_category(F.col("v")).alias("category"))
 
 
-JOINS = ("a JOIN b", "a LEFT JOIN b", "a left outer join b", "a RIGHT OUTER JOIN b", "a FULL JOIN b", "a CROSS JOIN b", "a NATURAL JOIN b", "a CROSS APPLY b", "a OUTER APPLY b", "a, b")
+JOINS = (("JOIN", "INNER"), ("LEFT JOIN", "LEFT OUTER"), ("left outer join", "LEFT OUTER"), ("RIGHT OUTER  JOIN", "RIGHT OUTER"), ("FULL JOIN", "FULL OUTER"), ("CROSS JOIN", "CROSS"), ("NATURAL JOIN", "NATURAL"), ("Cross Apply", "CROSS APPLY"), ("OUTER APPLY", "OUTER APPLY"), (",", "IMPLICIT"))
+JOINED = "SELECT p_partkey AS id, concat(p_type, '_left ', CASE p_partkey %% 10 %s END, ' joined_', CAST(p_size AS VARCHAR(9))) AS j FROM {part}" % " ".join(f"WHEN {i} THEN '{w}'" for i, (w, _) in enumerate(JOINS))
 
 
-@query("join_type", """SELECT j, k AS type FROM (VALUES ('a JOIN b', 'INNER'), ('a LEFT JOIN b', 'LEFT OUTER'), ('a left outer join b', 'LEFT OUTER'), ('a RIGHT OUTER JOIN b', 'RIGHT OUTER'), ('a FULL JOIN b', 'FULL OUTER'),
-    ('a CROSS JOIN b', 'CROSS'), ('a NATURAL JOIN b', 'NATURAL'), ('a CROSS APPLY b', 'CROSS APPLY'), ('a OUTER APPLY b', 'OUTER APPLY'), ('a, b', 'IMPLICIT')) AS t(j, k)""")
+@query("join_type", "SELECT p_partkey AS id, CASE p_partkey %% 10 %s END AS type FROM part" % " ".join(f"WHEN {i} THEN '{t}'" for i, (_, t) in enumerate(JOINS)))
 def _(get):
-    return get.spark.createDataFrame([(x,) for x in JOINS], "j string").select("j", C.join_type(F.col("j")).alias("type"))
+    """Kind of a join by the words between two names; names that hold such words do not count."""
+    return get.sql(JOINED).select("id", C.join_type(F.col("j")).alias("type"))
 
 
 @query("op_priority", "SELECT DISTINCT op, CASE op WHEN 'COUNT' THEN 1 WHEN 'AGGREGATE' THEN 2 WHEN 'READ' THEN 3 WHEN 'DELETE' THEN 4 WHEN 'UPDATE' THEN 5 WHEN 'WRITE' THEN 6 ELSE 0 END AS priority FROM {usage}")
@@ -148,18 +149,23 @@ def _(get):
     return g.select("endpoint", F.when(F.col("j") & F.col("m"), "BOTH").when(F.col("j"), "JPA").when(F.col("m"), "MONGO").otherwise("NONE").alias("tech"))
 
 
-UNITS = (("CREATE OR REPLACE PACKAGE BODY p AS", "PACKAGE_BODY"), ("package p is", "PACKAGE"), ("create procedure x", "PROCEDURE"), ("function f return number", "FUNCTION"), ("CREATE TRIGGER t", "TRIGGER"), ("create or replace view v as", "VIEW"), ("BEGIN NULL; END;", "ANONYMOUS"), ("create type body t as", "TYPE_BODY"))
+UNITS = (("CREATE OR REPLACE PACKAGE  BODY ", "PACKAGE_BODY"), ("package ", "PACKAGE"), ("create procedure ", "PROCEDURE"), ("function ", "FUNCTION"), (" CREATE TRIGGER ", "TRIGGER"), ("create or replace view ", "VIEW"), ("BEGIN trigger_", "ANONYMOUS"), ("create type body ", "TYPE_BODY"), ("Create Type ", "TYPE"))
+HEADERS = "SELECT p_partkey AS id, concat(CASE p_partkey %% 9 %s END, lower(p_type), '_package IS procedure x;') AS src FROM {part}" % " ".join(f"WHEN {i} THEN '{w}'" for i, (w, _) in enumerate(UNITS))
 
 
-@query("unit_type", "SELECT * FROM (VALUES %s) AS t(src, unit)" % ", ".join(f"('{a}', '{b}')" for a, b in UNITS))
+@query("unit_type", "SELECT p_partkey AS id, CASE p_partkey %% 9 %s END AS unit FROM part" % " ".join(f"WHEN {i} THEN '{t}'" for i, (_, t) in enumerate(UNITS)))
 def _(get):
-    return get.spark.createDataFrame([(a,) for a, _ in UNITS], "src string").select("src", C.unit_type(F.col("src")).alias("unit"))
+    """Kind of unit by the header of its source."""
+    return get.sql(HEADERS).select("id", C.unit_type(F.col("src")).alias("unit"))
 
 
-@query("trigger_timing", "SELECT * FROM (VALUES (1, 'BEFORE'), (2, 'AFTER'), (3, 'INSTEAD OF'), (4, 'AFTER'), (5, NULL)) AS t(id, timing)")
+DESCRIBED = """SELECT event_id AS id, CASE event_id % 5 WHEN 0 THEN concat('trg_', event_type, ' before insert on t') WHEN 1 THEN concat('AFTER UPDATE OF ', event_type) WHEN 2 THEN 'instead of delete' WHEN 3 THEN 'odd' END AS description,
+    CASE event_id % 3 WHEN 0 THEN 'AFTER STATEMENT' WHEN 1 THEN 'BEFORE EACH ROW' END AS type FROM {events}"""
+
+
+@query("trigger_timing", "SELECT event_id AS id, CASE event_id % 5 WHEN 0 THEN 'BEFORE' WHEN 1 THEN 'AFTER' WHEN 2 THEN 'INSTEAD OF' ELSE CASE event_id % 3 WHEN 0 THEN 'AFTER' WHEN 1 THEN 'BEFORE' END END AS timing FROM events")
 def _(get):
-    rows = get.spark.createDataFrame([(1, "t before insert on x", None), (2, "AFTER UPDATE", "BEFORE EACH ROW"), (3, "instead of delete", None), (4, "odd", "AFTER STATEMENT"), (5, None, None)], "id int, d string, t string")
-    return rows.select("id", C.trigger_timing(F.col("d"), F.col("t")).alias("timing"))
+    return get.sql(DESCRIBED).select("id", C.trigger_timing(F.col("description"), F.col("type")).alias("timing"))
 
 
 @query("catalog_verify", """SELECT collection, CASE WHEN collection IN (SELECT concat('COLL_', CAST(n_nationkey AS VARCHAR)) FROM nation WHERE n_nationkey < 15) THEN 'VERIFIED'
