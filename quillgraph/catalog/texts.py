@@ -43,46 +43,50 @@ def _(get):
     return get("sql_text").select("id", F.array_join(T.sequences(F.col("sql")), ",").alias("seqs"))
 
 
-DYN = (("'SELECT * FROM ' || 'emp' || ' WHERE 1=1'", "EMP"), ("'DELETE FROM tmp_x'", "TMP_X"), ("'INSERT INTO ' || l_tab", ""), ("'UPDATE t1 SET a = ''x''' || ' JOIN t2'", "T1,T2"), ("l_sql", ""))
+SIZE, TYPE, QUOTE = "CAST(p_size AS VARCHAR(9))", "lower(p_type)", "chr(39)"
+DYN = f"""SELECT p_partkey AS id, replace(CASE p_partkey % 5 WHEN 0 THEN concat('~SELECT * FROM ~ || ~t', {SIZE}, '~ || ~ WHERE 1=1~') WHEN 1 THEN concat('~DELETE FROM tmp_', {TYPE}, '~')
+    WHEN 2 THEN '~INSERT INTO ~ || l_tab' WHEN 3 THEN concat('~UPDATE u', {SIZE}, ' SET a = ~~x~~~ || ~ JOIN j_', {TYPE}, '~') ELSE concat('l_', {TYPE}) END, '~', {QUOTE}) AS e FROM {{part}}"""
 
 
-@query("dynamic_sql_tables", "SELECT * FROM (VALUES %s) AS t(id, tables)" % ", ".join(f"({i}, '{x}')" for i, (_, x) in enumerate(DYN)))
+@query("dynamic_sql_tables", f"SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN concat('T', {SIZE}) WHEN 1 THEN concat('TMP_', p_type) WHEN 3 THEN concat('J_', p_type, ',U', {SIZE}) ELSE '' END AS tables FROM part")
 def _(get):
-    rows = get.spark.createDataFrame([(i, e) for i, (e, _) in enumerate(DYN)], "id int, e string")
-    return rows.select("id", F.array_join(T.dynamic_tables(F.col("e")), ",").alias("tables"))
+    """Tables of statements that are put together from literals and variables."""
+    return get.sql(DYN).select("id", F.array_join(T.dynamic_tables(F.col("e")), ",").alias("tables"))
 
 
-CODE = (("x := pkg_a.f(1) + pkg_b.g(2); -- pkg_c.no(1)", "PKG_A.F,PKG_B.G"), ("/* a.b( */ do_it('c.d(');", ""), ("owner_x.run (p);", "OWNER_X.RUN"))
+CODE = f"""SELECT p_partkey AS id, replace(CASE p_partkey % 3 WHEN 0 THEN concat('x := pkg_a.f', {SIZE}, '(1) + pkg_b.', {TYPE}, ' (2); -- pkg_c.no(1)', chr(10), 'y;') WHEN 1 THEN concat('/* a.', {TYPE}, '( */ do_it(~c.d(~);')
+    ELSE concat('owner_', {TYPE}, '.run', {SIZE}, ' (p); z.q') END, '~', {QUOTE}) AS c FROM {{part}}"""
 
 
-@query("embedded_calls", "SELECT * FROM (VALUES %s) AS t(id, calls)" % ", ".join(f"({i}, '{x}')" for i, (_, x) in enumerate(CODE)))
+@query("embedded_calls", f"SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN concat('PKG_A.F', {SIZE}, ',PKG_B.', p_type) WHEN 1 THEN '' ELSE concat('OWNER_', p_type, '.RUN', {SIZE}) END AS calls FROM part")
 def _(get):
-    rows = get.spark.createDataFrame([(i, c) for i, (c, _) in enumerate(CODE)], "id int, c string")
-    return rows.select("id", F.array_join(T.embedded_calls(F.col("c")), ",").alias("calls"))
+    """Calls in code, none from comments and literals."""
+    return get.sql(CODE).select("id", F.array_join(T.embedded_calls(F.col("c")), ",").alias("calls"))
 
 
-BODIES = (("BEGIN INSERT INTO audit_log VALUES (1); UPDATE emp SET x = 1; END;", "INSERT:AUDIT_LOG,UPDATE:EMP"), ("delete from t; DELETE FROM T; -- merge into q", "DELETE:T"))
+BODIES = f"""SELECT p_partkey AS id, replace(CASE p_partkey % 2 WHEN 0 THEN concat('BEGIN INSERT INTO audit_', {TYPE}, ' VALUES (~delete from q~); UPDATE emp', {SIZE}, ' SET x = 1; END;')
+    ELSE concat('delete from t', {SIZE}, '; DELETE  FROM T', {SIZE}, '; -- merge into q', chr(10), 'Merge Into m_', {TYPE}, ' using x;') END, '~', {QUOTE}) AS b FROM {{part}}"""
 
 
-@query("trigger_dml", "SELECT * FROM (VALUES %s) AS t(id, dml)" % ", ".join(f"({i}, '{x}')" for i, (_, x) in enumerate(BODIES)))
+@query("trigger_dml", f"SELECT p_partkey AS id, CASE p_partkey % 2 WHEN 0 THEN concat('INSERT:AUDIT_', p_type, ',UPDATE:EMP', {SIZE}) ELSE concat('DELETE:T', {SIZE}, ',MERGE:M_', p_type) END AS dml FROM part")
 def _(get):
-    rows = get.spark.createDataFrame([(i, b) for i, (b, _) in enumerate(BODIES)], "id int, b string")
-    return rows.select("id", F.array_join(T.trigger_dml(F.col("b")), ",").alias("dml"))
+    """What the statements of a trigger's body change."""
+    return get.sql(BODIES).select("id", F.array_join(T.trigger_dml(F.col("b")), ",").alias("dml"))
 
 
-PIPES = (("[{$match:{a:1}},{$lookup:{from: 'ORDERS', as:'o'}},{$out: 'X_OUT'}]", "ORDERS", "$match,$lookup,$out"), ("{\"$out\": \"RES\"}, {$merge: {into: 'M1'}}", "M1,RES", "$out,$merge"), ("{$unionWith: {coll: 'U1'}}", "U1", "$unionWith"))
+PIPES = f"""SELECT p_partkey AS id, translate(CASE p_partkey % 3 WHEN 0 THEN concat('[<$match:<a:1>>,<$lookup:<from: ~', p_type, '_O~, as:~o~>>,<~$out~: ~X', {SIZE}, '~>]')
+    WHEN 1 THEN concat('<$merge: <into: ~M', {SIZE}, '~>>') ELSE concat('<$unionWith: <coll: ~U_', p_type, '~>>') END, '<>~', concat(chr(123), chr(125), {QUOTE})) AS p FROM {{part}}"""
 
 
-@query("pipeline_refs", "SELECT * FROM (VALUES %s) AS t(id, refs)" % ", ".join(f"({i}, '{x}')" for i, (_, x, _) in enumerate(PIPES)))
+@query("pipeline_refs", f"SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN concat(p_type, '_O,X', {SIZE}) WHEN 1 THEN concat('M', {SIZE}) ELSE concat('U_', p_type) END AS refs FROM part")
 def _(get):
-    rows = get.spark.createDataFrame([(i, p) for i, (p, *_) in enumerate(PIPES)], "id int, p string")
-    return rows.select("id", F.array_join(T.pipeline_refs(F.col("p")), ",").alias("refs"))
+    """Collections that the stages of a pipeline name."""
+    return get.sql(PIPES).select("id", F.array_join(T.pipeline_refs(F.col("p")), ",").alias("refs"))
 
 
-@query("pipeline_stages", "SELECT * FROM (VALUES %s) AS t(id, stages)" % ", ".join(f"({i}, '{x}')" for i, (_, _, x) in enumerate(PIPES)))
+@query("pipeline_stages", "SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN '$match,$lookup,$out' WHEN 1 THEN '$merge' ELSE '$unionWith' END AS stages FROM part")
 def _(get):
-    rows = get.spark.createDataFrame([(i, p) for i, (p, *_) in enumerate(PIPES)], "id int, p string")
-    return rows.select("id", F.array_join(T.pipeline_stages(F.col("p")), ",").alias("stages"))
+    return get.sql(PIPES).select("id", F.array_join(T.pipeline_stages(F.col("p")), ",").alias("stages"))
 
 
 @query("collection_refs", "SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '[A-Z][A-Z0-9_]{{3,59}}'))), ',') AS refs FROM documents")
