@@ -12,6 +12,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x9E3779B97F4A7C15))
+#: Spans or pairs that are hashed at once.
+PART = 1 << 17
 _MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 
@@ -70,13 +72,18 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span's bytes, eight bytes at a step."""
-    left = ends - starts
-    h = mix(left.astype(np.uint64) * _M3 + np.uint64(1))
-    if not len(starts):
-        return h
+    """A 64-bit hash of each span's bytes, eight bytes at a step; spans are taken in parts, which keeps what is held besides small."""
     padded = np.concatenate([buf, np.zeros(8, np.uint8)])
     loads = np.ndarray((len(buf) + 1,), "<u8", padded, strides=(1,))
+    out = np.empty(len(starts), np.uint64)
+    for a in range(0, len(starts), PART):
+        out[a : a + PART] = _span_hashes(loads, starts[a : a + PART], ends[a : a + PART])
+    return out
+
+
+def _span_hashes(loads: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    left = ends - starts
+    h = mix(left.astype(np.uint64) * _M3 + np.uint64(1))
     h = mix(h ^ (loads[starts] & _MASK[np.minimum(left, 8)]))
     live = np.flatnonzero(left > 8)
     at, left = starts[live] + 8, left[live] - 8
@@ -89,7 +96,11 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 
 def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Hash of an ordered pair of hashes."""
-    return mix(a * _M3 + (b ^ (b >> np.uint64(31))) + np.uint64(0x2545F4914F6CDD1D))
+    out = np.empty(len(a), np.uint64)
+    for i in range(0, len(a), PART):
+        x, y = a[i : i + PART], b[i : i + PART]
+        out[i : i + PART] = mix(x * _M3 + (y ^ (y >> np.uint64(31))) + np.uint64(0x2545F4914F6CDD1D))
+    return out
 
 
 def take_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,17 +118,21 @@ def binary_array(data: np.ndarray, offs: np.ndarray) -> pa.Array:
 
 def put_varints(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Unsigned integers below 2**35, seven bits a byte, and the byte offset of each."""
-    v = values.astype(np.uint64)
-    size = 1 + sum((v >= np.uint64(1 << (7 * k))).astype(np.int64) for k in range(1, 5))
+    v = np.ascontiguousarray(values)
+    v = v.view(np.uint64) if v.dtype == np.int64 else v.astype(np.uint64)
+    size = np.ones(len(v), np.uint8)
+    for k in range(1, 5):
+        size += v >= np.uint64(1 << (7 * k))
     offs = np.zeros(len(v) + 1, np.int64)
-    np.cumsum(size, out=offs[1:])
+    np.cumsum(size, dtype=np.int64, out=offs[1:])
     out = np.zeros(offs[-1], np.uint8)
-    for k in range(5):
-        has = size > k
-        if not has.any():
+    out[offs[:-1]] = (v & np.uint64(127)).astype(np.uint8) | ((size > 1).view(np.uint8) << np.uint8(7))
+    for k in range(1, 5):
+        has = np.flatnonzero(size > k)
+        if not len(has):
             break
-        byte = (v[has] >> np.uint64(7 * k)) & np.uint64(127)
-        out[offs[:-1][has] + k] = (byte | ((size[has] > k + 1).astype(np.uint64) << np.uint64(7))).astype(np.uint8)
+        byte = ((v[has] >> np.uint64(7 * k)) & np.uint64(127)).astype(np.uint8)
+        out[offs[has] + k] = byte | ((size[has] > k + 1).view(np.uint8) << np.uint8(7))
     return out, offs
 
 
