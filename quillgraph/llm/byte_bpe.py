@@ -31,6 +31,8 @@ from .runtime import narrowed, partitions, pieces, prepare
 HEAVY_USES = 2000
 #: Bytes of text in a block: larger blocks name each distinct word less often.
 WORD_BLOCK = 16 << 20
+#: Bytes of text that are cut into pre-tokens at once.
+RUN_BYTES = 1 << 20
 #: Distinct words whose ids a task keeps.
 KEPT_WORDS = 200_000
 #: Bytes up to which a word is scanned rather than kept in a heap; a rank above all ranks.
@@ -89,6 +91,14 @@ def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+def _starts(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Where pre-tokens start, found for runs of whole texts one after the other: what is held besides is of the order of a run."""
+    kind = np.int32 if len(buf) < 2**31 - 1 else np.int64
+    edge = np.unique(np.append(np.searchsorted(offs, np.arange(0, len(buf), RUN_BYTES)), len(offs) - 1)).tolist()
+    found = [(K.pretoken_starts(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a]) + offs[a]).astype(kind) for a, b in zip(edge, edge[1:])]
+    return np.concatenate([np.zeros(0, kind), *found])
+
+
 def _exploder(buckets: int):
     """Blocks of texts to rows (block, bucket, payload): the distinct words of a block that hash to a bucket, with all their
     positions. A first row, of bucket -1, holds the block's documents. Words with long position lists are in another bucket
@@ -99,8 +109,8 @@ def _exploder(buckets: int):
         for piece in pieces(batches, "text", WORD_BLOCK):
             ids, col = piece.column("doc_id"), piece.column("text")
             buf, offs = K.buffer_of(col)
-            starts = K.pretoken_starts(buf, offs)
-            ends = np.append(starts[1:], len(buf))
+            starts = _starts(buf, offs)
+            ends = np.append(starts[1:], starts.dtype.type(len(buf)))
             counts = np.diff(np.searchsorted(starts, offs)).astype(np.int64)
             null = pc.is_null(ids).to_numpy(zero_copy_only=False).astype(np.uint8)
             rows = [(-1, K.pack(pc.fill_null(ids, 0).to_numpy().astype(np.int64), null, counts))]
@@ -108,10 +118,15 @@ def _exploder(buckets: int):
                 h = K.span_hashes(buf, starts, ends)
                 hs = np.sort(h)
                 distinct = hs[np.concatenate([[True], hs[1:] != hs[:-1]])]
-                key = (np.searchsorted(distinct, h).astype(np.uint64) << np.uint64(32)) | np.arange(len(h), dtype=np.uint64)
-                del h, hs
+                del hs
+                key = np.searchsorted(distinct, h).view(np.uint64)
+                del h
+                key <<= np.uint64(32)
+                key |= np.arange(len(key), dtype=np.uint64)
                 key.sort()
-                rank, pos = (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
+                pos = (key & np.uint64(0xFFFFFFFF)).view(np.int64)
+                key >>= np.uint64(32)
+                rank = key
                 del key
                 first = np.flatnonzero(np.concatenate([[True], rank[1:] != rank[:-1]]))
                 del rank
