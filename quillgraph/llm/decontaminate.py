@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 from . import text_kernel as K
 from .runtime import drop_table, narrowed, pieces, prepare, rows_kept, stored
 
+#: Bytes of text searched at once; nothing is shuffled, so that small blocks cost nothing else.
+BLOCK = 2 << 20
 #: Share of an item's words that may differ, most words of an item that goes the exact way, words of a benchmark slice.
 SHARE, SHORT, SLICE_WORDS = 0.2, 5, 1_000_000
 #: Lookups that are expanded together.
@@ -257,7 +259,7 @@ class Short:
 def _marker(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: Items = held.value
-        for piece in pieces(batches, "text"):
+        for piece in pieces(batches, "text", BLOCK):
             words, first = plain_words(*K.buffer_of(piece.column("text")))
             found: list[dict[int, tuple[int, int]]] = [{} for _ in range(piece.num_rows)]
             for row, name, d, end in items.search(words, first):
@@ -324,7 +326,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item
             keep[[row for row, *_ in held.value.search(words, first)]] = False
             return pa.array(keep)
 
-        docs = rows_kept(docs, text_col, mask)
+        docs = rows_kept(docs, text_col, mask, BLOCK)
         if rows is not None:  # what is left is a table, so that one slice at a time is held
             docs = stored(docs, "clean")
             held.unpersist()
