@@ -5,9 +5,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from quillgraph import queries
 from quillgraph.functions import classify, sqltext
 from quillgraph.operators import graph, pack, resolve, similar
 from quillgraph.plans import dialect
+from quillgraph.sources import facts
 from quillgraph.streaming import windows
 
 
@@ -82,6 +84,27 @@ def test_greedy_clusters_against_a_loop(spark):
     assert {g.id: g.cluster for g in got} == want
 
 
+def test_greedy_clusters_make_no_table_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(similar, "weighted_jaccard", None)
+    assert queries.QUERIES["greedy_clusters"](spark, "/root/testdata/sf0.001").count() == facts.load(spark, "/root/testdata/sf0.001", "fingerprint").select("id").distinct().count()
+
+
+@pytest.mark.parametrize("n_deps", [12, 400])
+def test_greedy_fingerprints_like_clusters_of_all_scores(spark, n_deps):
+    r = random.Random(n_deps)
+    ids = [f"e{i:03}" for i in range(160)]
+    sets = {i: frozenset(r.sample(range(n_deps), r.randrange(0, 9))) for i in ids}
+    sets |= {i: sets["e007"] for i in ids[100:140]}  # more copies than a cluster takes
+    f = spark.createDataFrame([(i, f"d{d}") for i in ids for d in sets[i]], "id string, dep string")
+    weights = f.groupBy("dep").agg(F.round(F.rand(1) + 0.1, 3).alias("weight")).localCheckpoint()
+    for part in (0, 1):
+        items = spark.createDataFrame([(k, i, r.randrange(1, 6), r.choice("xy")) for k in range(part + 1) for i in ids[k * 100 :]], "part int, id string, size int, owner string").filter(F.col("part") == part)
+        scores = similar.weighted_jaccard(f.join(items, "id", "left_semi"), weights).withColumn("part", F.lit(part))
+        got = similar.greedy_fingerprints(f, weights, items, most=7).collect()
+        assert sorted(got) == sorted(similar.greedy_clusters(scores, items, most=7).collect())
+        assert len(got) == items.count()
+
+
 def test_bin_pack_and_purge(spark):
     seq = spark.createDataFrame([("k", i, s) for i, s in enumerate([10, 10, 30, 5, 5, 5, 11])], "label string, ord long, size long")
     assert [r.bin for r in pack.bin_pack(seq, 20, "label").orderBy("ord").collect()] == [0, 0, 1, 2, 2, 2, 3]
