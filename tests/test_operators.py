@@ -84,6 +84,24 @@ def test_greedy_clusters_against_a_loop(spark):
     assert {g.id: g.cluster for g in got} == want
 
 
+@pytest.mark.parametrize("block", [1024, 7])
+def test_crowded_fingerprints_give_every_pair_without_a_join_of_them(spark, monkeypatch, block):
+    monkeypatch.setattr(similar, "BLOCK", block)
+    r = random.Random(block)
+    ids = [f"{c}{i}" for i in range(30) for c in ("e", "é", "😀")] + [""]
+    sets = {i: r.sample(range(20), r.randrange(1, 20)) for i in ids} | {"lone": ["own"]}
+    weight = {d: 0.1 + r.random() for d in range(20)} | {"own": 0.3}
+    f = spark.createDataFrame([(i, f"d{d}") for i in sets for d in sets[i]] + [(None, "d1"), ("e1", None)], "id string, dep string")
+    weights = spark.createDataFrame([(f"d{d}", w) for d, w in weight.items()], "dep string, weight double")
+    total = lambda s: sum(weight[d] for d in s)
+    want = {(a, b): total({*sets[a]} & {*sets[b]}) / total({*sets[a]} | {*sets[b]}) for a in sets for b in sets if a.encode() < b.encode() and {*sets[a]} & {*sets[b]}}
+    df = similar.weighted_jaccard(f, weights)
+    got = {(x.a, x.b): x.score for x in df.collect()}
+    assert df.count() == len(got) and got.keys() == want.keys()
+    assert all(abs(got[p] - want[p]) < 6e-7 and got[p] == round(got[p], 6) for p in want)
+    assert "FlatMapGroupsInArrow" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_greedy_clusters_make_no_table_of_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(similar, "weighted_jaccard", None)
     assert queries.QUERIES["greedy_clusters"](spark, "/root/testdata/sf0.001").count() == facts.load(spark, "/root/testdata/sf0.001", "fingerprint").select("id").distinct().count()
