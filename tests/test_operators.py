@@ -102,6 +102,27 @@ def test_crowded_fingerprints_give_every_pair_without_a_join_of_them(spark, monk
     assert "FlatMapGroupsInArrow" in df._jdf.queryExecution().optimizedPlan().toString()
 
 
+@pytest.mark.parametrize("block", [1024, 5])
+def test_cohesion_of_crowded_clusters_meets_sets_and_not_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(similar, "BLOCK", block)
+    r = random.Random(block)
+    ids = [f"e{i:02}" for i in range(60)]
+    sets = {i: r.sample(range(9), r.randrange(2, 9)) for i in ids}
+    sets |= {i: sets["e03"] for i in ids[:45:3]}  # copies, in one cluster only
+    cluster = {i: k % 3 for k, i in enumerate(ids)} | {"lone": 7, "bare": 8, "none": 8}
+    sets["lone"] = [1]
+    weight = [0.1 + r.random() for _ in range(9)]
+    total = lambda s: sum(weight[d] for d in s)
+    pairs = [(a, b) for a in cluster for b in cluster if a < b and cluster[a] == cluster[b]]
+    score = {p: total({*sets.get(p[0], [])} & {*sets.get(p[1], [])}) / (total({*sets.get(p[0], [])} | {*sets.get(p[1], [])}) or 1) for p in pairs}
+    mean = lambda v: round(sum(round(x, 6) for x in v) / len(v), 6) if v else 1.0
+    want = {c: (list(cluster.values()).count(c), mean([s for p, s in score.items() if cluster[p[0]] == c])) for c in cluster.values()}
+    f = spark.createDataFrame([(i, f"d{d}") for i in sets for d in sets[i]], "id string, dep string")
+    df = similar.cohesion(spark.createDataFrame(list(cluster.items()), "id string, cluster int"), f, spark.createDataFrame([(f"d{d}", w) for d, w in enumerate(weight)], "dep string, weight double"))
+    assert {x.cluster: (x.n, x.cohesion) for x in df.collect()} == want
+    assert "FlatMapGroupsInArrow" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_greedy_clusters_make_no_table_of_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(similar, "weighted_jaccard", None)
     assert queries.QUERIES["greedy_clusters"](spark, "/root/testdata/sf0.001").count() == facts.load(spark, "/root/testdata/sf0.001", "fingerprint").select("id").distinct().count()
