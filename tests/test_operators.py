@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillgraph import queries
 from quillgraph.functions import classify, sqltext
-from quillgraph.operators import graph, pack, resolve, similar
+from quillgraph.operators import dispatch, graph, pack, resolve, similar
 from quillgraph.plans import dialect
 from quillgraph.sources import facts
 from quillgraph.streaming import windows
@@ -84,6 +84,48 @@ def test_greedy_clusters_against_a_loop(spark):
     assert {g.id: g.cluster for g in got} == want
 
 
+def test_narrow_against_a_loop_over_all_implementations(spark):
+    r = random.Random(5)
+    word = lambda n: "".join(r.choice("aAbB.É") for _ in range(r.randrange(n)))
+    maybe = lambda v: v if r.random() < 0.85 else None
+    impls = [(r.choice("IJ") if r.random() < 0.8 else f"L{i}", maybe(f"p.{word(5)}{i % 17}"), maybe(word(6)), r.random() < 0.1, r.randrange(9)) for i in range(40)]
+    beans = [(f"a{i}", r.choice(impls)[1]) for i in range(8)] + [("aB", impls[0][1])]
+    calls = [(k, maybe(r.choice(["I", "J", *(f"L{i}" for i in range(40))])), maybe(r.choice([word(4), word(9), f"a{k % 8}"])), maybe(r.choice([word(4), f"a{k % 8}"]))) for k in range(700)]
+    by_bean = [i for i in impls if i[1] and i[2] and "." not in i[2] and not i[3]][:5]
+    beans += [(f"Z{n}z", i[1]) for n, i in enumerate(by_bean)]
+    calls += [(1000 + n, i[0], f"Z{n}z", None) for n, i in enumerate(by_bean)]
+    end = lambda name, tail: name is not None and name.endswith("." + tail)
+
+    def rule(iface, field, q, i):
+        _, impl, simple, primary, _ = i
+        low, named = simple if simple is None else simple.lower(), dict(beans)
+        if field is not None and q is not None:
+            if (simple is not None and q == simple[:1].lower() + simple[1:]) or end(impl, q):
+                return 1
+            if impl is not None and named.get(q) == impl:
+                return 2
+            if (low is not None and q.lower() in low) or end(impl and impl.lower(), q.lower()):
+                return 3
+        if field is not None:
+            if len(field) > 3 and low is not None and (field.lower() in low or low in field.lower()):
+                return 4
+            if impl is not None and named.get(field) == impl:
+                return 5
+        return 6 if primary and sum(x[3] for x in impls if x[0] == iface) == 1 else None
+
+    want = {}
+    for k, iface, field, q in calls:
+        fits = sorted((n, i[4], i[1] or "", i[1] is not None) for i in impls if i[0] == iface and (n := rule(iface, field, q, i)))
+        want[k] = (fits[0][2] if fits[0][3] else None, fits[0][0]) if fits else (None, None)
+    df = dispatch.narrow(
+        spark.createDataFrame(calls, "k int, iface string, field string, qualifier string"), spark.createDataFrame(impls, "iface string, impl string, simple string, primary boolean, ord int"), spark.createDataFrame(beans, "name string, bean string")
+    )
+    assert {x.k: (x.impl, x.rule) for x in df.collect()} == want
+    assert {n for _, n in want.values()} == {None, 1, 2, 3, 4, 5, 6}
+    plan = df._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "contains(" not in plan and "endswith(" not in plan
+
+
 @pytest.mark.parametrize("block", [1024, 7])
 def test_crowded_fingerprints_give_every_pair_without_a_join_of_them(spark, monkeypatch, block):
     monkeypatch.setattr(similar, "BLOCK", block)
