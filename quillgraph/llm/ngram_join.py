@@ -493,15 +493,16 @@ def _linked(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataF
     pairs = near(first, reps, percent)
     links = verified(pairs, reps, docs, words, percent)
     comps = components(links)
+    drop_table(links)
     top = comps.groupBy("comp").count().orderBy(F.desc("count"), "comp").limit(LARGE).collect()  # of fixed size
     large = spark.sparkContext.broadcast([r["comp"] for r in top])
     across = _blocks(lists, comps, reps, long).repartition(n, "token", "low", "high").sortWithinPartitions("token", "low", "high", "n", "node").mapInArrow(_across(percent, large), "node long, n int, ids binary, sizes binary")
     second = stored(across.repartition(n, "node").sortWithinPartitions("node").mapInArrow(_search, "a long, b long").distinct(), "pairs")
     more = verified(second, reps, docs, words, percent)
-    for done in (lists, pairs, second, comps, *([] if long is None else [long])):
+    for done in (lists, pairs, second, *([] if long is None else [long])):
         drop_table(done)
-    comps = components(links.union(more))
-    for done in (links, more):
+    found, comps = comps, components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionAll(more))  # stars hold what the links did
+    for done in (found, more):
         drop_table(done)
     rows, shared = features.select("doc_id", "h", "n", "s1", "s2"), reps.filter("node <> s1").select("n", "s1", "s2", "node")
     if shared.isEmpty():

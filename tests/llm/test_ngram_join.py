@@ -197,3 +197,16 @@ def test_rows_told_by_a_bitmap(spark, monkeypatch):
         assert sorted(r.v for r in M.without(rows, ["k"], gone).collect()) == [i for i in range(3000) if i % 3 or i == 7]
         assert sorted(r.v for r in M.only(rows, ["k"], gone).collect()) == [i for i in range(0, 3000, 3)]
     assert M.without(rows, ["k"], gone.limit(0)).count() == 3000 and M.only(rows, ["k"], gone.limit(0)).count() == 0
+
+
+def test_components_of_stars_take_no_round_and_a_chain_ends_with_its_last(spark, monkeypatch):
+    from quillgraph.llm import components as C
+
+    rounds, least = [], C._with_least
+    monkeypatch.setattr(C, "_with_least", lambda links, n: rounds.append(n) or least(links, n))
+    links = lambda pairs: spark.createDataFrame(pairs, "a long, b long")
+    got = lambda pairs: {r.node: r.comp for r in components(links(pairs)).collect()}
+    assert got([(-5, k) for k in range(6)] + [(9, -7), (8, -7), (9, 9), (20, 21)]) == {-5: -5, **dict.fromkeys(range(6), -5), -7: -7, 8: -7, 9: -7, 20: 20, 21: 20}
+    assert not rounds
+    assert got([(0, 1), (1, 2), (2, 0)]) == {0: 0, 1: 0, 2: 0}
+    assert len(rounds) == 2  # one round of two steps, none to see that nothing changes
