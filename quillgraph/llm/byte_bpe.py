@@ -13,9 +13,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from heapq import heapify, heappop, heappush
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text_kernel as K
-from .runtime import narrowed, partitions, pieces, prepare
+from .runtime import narrowed, partitions, pieces, prepare, release, released
 
 #: Uses in a block from which a word is spread over all tasks. Rarer words stay in one.
 HEAVY_USES = 2000
@@ -35,9 +34,12 @@ WORD_BLOCK = 16 << 20
 RUN_BYTES = 1 << 20
 #: Distinct words whose ids a task keeps.
 KEPT_WORDS = 200_000
+#: Words, and ids, of a block that are written out at once.
+WINDOW = 1 << 16
 #: Bytes up to which a word is scanned rather than kept in a heap; a rank above all ranks.
 SCANNED, NO_RANK = 40, 1 << 40
 _RANKS: dict[str, dict[bytes, int]] = {}
+_TABLES: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -48,6 +50,18 @@ def load_ranks(path: str) -> dict[bytes, int]:
     return _RANKS[path]
 
 
+def token_tables(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """By id: the token's bytes and their offsets, a comma with the decimal id and their offsets; made once in each process."""
+    if path not in _TABLES:
+        by_id = {i: token for token, i in load_ranks(path).items()}
+        top = max(by_id, default=-1) + 1
+        tables = []
+        for row in ([by_id.get(i, b"") for i in range(top)], [b",%d" % i for i in range(top)]):
+            tables += [np.frombuffer(b"".join(row), np.uint8), np.cumsum([0, *map(len, row)])]
+        _TABLES[path] = tuple(tables)
+    return _TABLES[path]
+
+
 def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of one pre-token: the adjacent pair of lowest rank is merged, leftmost first, until none has a rank.
 
@@ -153,7 +167,7 @@ def _exploder(buckets: int):
             yield pa.RecordBatch.from_arrays([pa.array([block] * len(rows), pa.int64()), pa.array([b for b, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["block", "bucket", "payload"])
             block += 1
 
-    return run
+    return released(run)
 
 
 def _encoder(ranks_path: str):
@@ -162,10 +176,10 @@ def _encoder(ranks_path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, kept = load_ranks(ranks_path), {}
         for batch in batches:
-            out = []
-            for bucket, payload in zip(batch.column("bucket").to_pylist(), batch.column("payload").to_pylist(), strict=True):
+            for i, bucket in enumerate(batch.column("bucket").to_pylist()):
+                row = batch.slice(i, 1)
                 if bucket >= 0:
-                    words, sizes, places, place_sizes = K.unpack(payload)
+                    words, sizes, places, place_sizes = K.unpack(row.column("payload")[0].as_py())
                     raw, cut = words.tobytes(), [0, *np.cumsum(K.get_varints(sizes)[0]).tolist()]
                     found = []
                     for w in (raw[a:b] for a, b in zip(cut, cut[1:])):
@@ -173,28 +187,31 @@ def _encoder(ranks_path: str):
                         if ids is None:
                             if len(kept) >= KEPT_WORDS:
                                 kept.clear()
-                            ids = kept[w] = merge_word(w, ranks)
+                            ids = kept[w] = np.array(merge_word(w, ranks), np.int32).tobytes()
                         found.append(ids)
-                    flat = np.fromiter(chain.from_iterable(found), np.int64)
-                    payload = K.pack(K.put_varints(flat)[0], K.put_varints(np.fromiter(map(len, found), np.int64, len(found)))[0], places, place_sizes)
-                out.append(payload)
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("bucket"), pa.array(out, pa.binary())], ["block", "bucket", "payload"])
+                    flat = np.frombuffer(b"".join(found), np.int32)
+                    payload = K.pack(K.put_varints(flat)[0], K.put_varints(np.fromiter(map(len, found), np.int64, len(found)) >> 2)[0], places, place_sizes)
+                    row = pa.RecordBatch.from_arrays([*row.columns[:2], pa.array([payload], pa.binary())], ["block", "bucket", "payload"])
+                yield row
 
-    return run
+    return released(run)
 
 
 class Block:
-    """The documents of one block with their words in order."""
+    """The documents of one block with their ids in order: ``edges`` of ``ids`` by document."""
 
     def __init__(self, table: pa.Table):
-        parts = {b: K.unpack(x) for b, x in zip(table.column("bucket").to_pylist(), table.column("payload").to_pylist(), strict=True)}
-        ids, null, counts = parts.pop(-1)
-        self.doc_ids = [None if x else i for i, x in zip(ids.view(np.int64).tolist(), null.tolist(), strict=True)]
-        self.edges = np.concatenate([[0], np.cumsum(counts.view(np.int64))])
-        self.word_at = np.zeros(int(self.edges[-1]), np.int64)
-        all_ids, all_sizes, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
-        for flat, sizes, places, place_sizes in parts.values():
-            all_ids.append(K.get_varints(flat)[0])
+        buckets, payload = table.column("bucket").to_pylist(), table.column("payload")
+        ids, null, counts = K.unpack(payload[buckets.index(-1)].as_py())
+        self.doc_ids = pa.array(ids.view(np.int64), mask=null.astype(bool))
+        words = np.concatenate([[0], np.cumsum(counts.view(np.int64))])
+        word_at = np.zeros(int(words[-1]), np.int32)
+        all_ids, all_sizes, n = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], 0
+        for row, bucket in enumerate(buckets):
+            if bucket < 0:
+                continue
+            flat, sizes, places, place_sizes = K.unpack(payload[row].as_py())
+            all_ids.append(K.get_varints(flat)[0].astype(np.int32))
             all_sizes.append(K.get_varints(sizes)[0])
             gaps, ends = K.get_varints(places)
             bounds = np.searchsorted(ends, np.cumsum(K.get_varints(place_sizes)[0]), side="right")
@@ -202,39 +219,73 @@ class Block:
             pos = np.cumsum(gaps)
             uses = bounds - first
             pos -= np.repeat(pos[first] - np.cumsum(gaps[first]), uses)
-            self.word_at[pos] = np.repeat(np.arange(n, n + len(uses)), uses)
+            word_at[pos] = np.repeat(np.arange(n, n + len(uses), dtype=np.int32), uses)
             n += len(uses)
-        self.ids = np.concatenate(all_ids)
-        self.id_offs = np.concatenate([[0], np.cumsum(np.concatenate(all_sizes))])
-
+        by_word, size = np.concatenate(all_ids), np.concatenate(all_sizes)
+        del all_ids, all_sizes
+        cut = np.concatenate([[0], np.cumsum(size)])
+        made, self.edges, done = [np.zeros(0, np.int32)], np.zeros(len(words), np.int64), 0
+        for a in range(0, len(word_at), WINDOW):
+            at = word_at[a : a + WINDOW]
+            some, offs = K.take_spans(by_word, cut[at], cut[at + 1])
+            here = slice(*np.searchsorted(words, [a + 1, a + len(at) + 1]))  # documents that end in the window; empty ones where the one before does
+            self.edges[here] = done + offs[words[here] - a]
+            made.append(some)
+            done += len(some)
+        self.ids = np.concatenate(made)
+
+    def sequences(self) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(self.edges, pa.int32()), pa.array(self.ids, pa.int32()))
+
+    def digests(self, ranks_path: str) -> tuple[list[str], list[str]]:
+        """Of the ids of each document joined by commas, and of the bytes decoded from them; ids are looked up in windows."""
+        token, token_cut, comma, comma_cut = token_tables(ranks_path)
+        edges, out, at = self.edges.tolist(), ([], []), 0
+        ids, data = hashlib.sha256(), hashlib.sha256()
+        for a in range(0, max(len(self.ids), 1), WINDOW):
+            some = self.ids[a : a + WINDOW]
+            texts, text_offs = K.take_spans(comma, comma_cut[some], comma_cut[some + 1])
+            decoded, offs = K.take_spans(token, token_cut[some], token_cut[some + 1])
+            end = a + len(some)
+            while at < len(edges) - 1:
+                low, high = max(edges[at], a) - a, min(edges[at + 1], end) - a
+                if low < high:
+                    ids.update(texts[text_offs[low] + (edges[at] >= a) : text_offs[high]])  # no comma before the first
+                    data.update(decoded[offs[low] : offs[high]])
+                if edges[at + 1] > end:
+                    break
+                out[0].append(ids.hexdigest())
+                out[1].append(data.hexdigest())
+                ids, data, at = hashlib.sha256(), hashlib.sha256(), at + 1
+        return out
+
+
+def _written(columns: Callable[[Block], dict[str, pa.Array]]):
+    """A table of columns for each block; what the block held is given back before the next."""
+
+    def made(table: pa.Table) -> pa.Table:
+        block = Block(table)
+        return pa.table({"doc_id": block.doc_ids} | columns(block))
 
-def _digests(ranks_path: str, with_ids: bool = False):
     def run(table: pa.Table) -> pa.Table:
-        block, ranks = Block(table), load_ranks(ranks_path)
-        token_bytes = dict(zip(ranks.values(), ranks.keys(), strict=True))
-        ids, cuts = block.ids.tolist(), block.id_offs.tolist()
-        texts = [",".join(map(str, ids[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        decoded = [b"".join([token_bytes[i] for i in ids[a:b]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        size = np.diff(block.id_offs)
-        out: list[list] = [[], [], []]
-        for a, b in zip(block.edges[:-1].tolist(), block.edges[1:].tolist(), strict=True):
-            at = block.word_at[a:b]
-            seq = at.tolist()
-            out[0].append(int(size[at].sum()))
-            out[1].append(hashlib.sha256(",".join([texts[k] for k in seq]).encode()).hexdigest())
-            out[2].append(hashlib.sha256(b"".join([decoded[k] for k in seq])).hexdigest())
-        cols = {"doc_id": pa.array(block.doc_ids, pa.int64()), "n_tokens": pa.array(out[0], pa.int64()), "ids_sha256": pa.array(out[1], pa.string()), "decoded_sha256": pa.array(out[2], pa.string())}
-        return pa.table(cols | ({"ids": _sequences(table).column("ids")} if with_ids else {}))
+        out = made(table)
+        release()
+        return out
 
     return run
 
 
+def _digests(ranks_path: str, with_ids: bool = False):
+    def columns(block: Block) -> dict[str, pa.Array]:
+        ids, decoded = block.digests(ranks_path)
+        found = {"n_tokens": pa.array(np.diff(block.edges)), "ids_sha256": pa.array(ids, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())}
+        return found | ({"ids": block.sequences()} if with_ids else {})
+
+    return _written(columns)
+
+
 def _sequences(table: pa.Table) -> pa.Table:
-    block, out = Block(table), []
-    words = [block.ids[a:b].astype(np.int32) for a, b in zip(block.id_offs[:-1], block.id_offs[1:], strict=True)]
-    for a, b in zip(block.edges[:-1].tolist(), block.edges[1:].tolist(), strict=True):
-        out.append(np.concatenate([words[k] for k in block.word_at[a:b].tolist()] or [np.zeros(0, np.int32)]))
-    return pa.table({"doc_id": pa.array(block.doc_ids, pa.int64()), "ids": pa.array(out, pa.list_(pa.int32()))})
+    return _written(lambda block: {"ids": block.sequences()})(table)
 
 
 def encoded_words(docs: DataFrame, ranks_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from . import text_kernel as K
 from .components import components
 from .members import only, renamed, without
-from .runtime import drop_table, narrowed, partitions, pieces, prepare, stored
+from .runtime import drop_table, narrowed, partitions, pieces, prepare, released, stored
 
 #: Buckets of the sketch (a power of two) and its segments.
 SKETCH_BITS, SEGMENTS = 20, 64
@@ -113,7 +113,7 @@ def _sketcher(words: int):
             parts = [(i, K.pack(K.put_varints(x)[0])) for i, x in enumerate(total.reshape(SEGMENTS, -1)) if x.any()]
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], ["segment", "counts"])
 
-    return run
+    return released(run)
 
 
 def _merge_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +132,7 @@ def frequency_order(docs: DataFrame, words: int) -> np.ndarray:
     schema = "segment int, counts binary"
     rows = docs.mapInArrow(_sketcher(words), schema)
     n = min(SEGMENTS, partitions(spark))
-    merged = rows.repartitionById(n, F.col("segment") % n).mapInArrow(_merge_sketch, schema).collect()  # of fixed size
+    merged = rows.repartitionById(n, F.col("segment") % n).mapInArrow(released(_merge_sketch), schema).collect()  # of fixed size
     counts = np.zeros((SEGMENTS, (1 << SKETCH_BITS) // SEGMENTS))
     for r in merged:
         counts[r["segment"]] = K.get_varints(K.unpack(bytes(r["counts"]))[0])[0]
@@ -171,7 +171,7 @@ def _features(words: int, percent: int, order):
             shapes = K.binary_array(shape, np.arange(len(n) + 1) * SHAPE)
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("h"), pa.array(n, pa.int32()), pa.array(s1), pa.array(s2), pa.array(out, pa.binary()), shapes], ["doc_id", "h", "n", "s1", "s2", "short", "shape"])
 
-    return run
+    return released(run)
 
 
 def _postings(frequent: bool = False):
@@ -188,7 +188,7 @@ def _postings(frequent: bool = False):
             rows = pa.RecordBatch.from_arrays([pa.array(token), pa.array(node), pa.array(n)], ["token", "node", "n"])
             yield from (rows.slice(i, 100_000) for i in range(0, rows.num_rows, 100_000))
 
-    return run
+    return released(run)
 
 
 def runs(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
@@ -245,7 +245,7 @@ def _lists(percent: int):
             needs = pa.ListArray.from_arrays(pa.array(offs), pa.array(required(low[order]).astype(np.int32)))
             yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(node), pa.array(n.astype(np.int32)), pivots, needs], ["token", "node", "n", "pivots", "needs"])
 
-    return run
+    return released(run)
 
 
 def _allowed(x: np.ndarray, y: np.ndarray, total: np.ndarray, percent: int) -> np.ndarray:
@@ -319,7 +319,7 @@ def _across(percent: int, large):
                 out += _turned(turned, node, n)
             yield from _named(out)
 
-    return run
+    return released(run)
 
 
 def divide_skip(lists: list[np.ndarray], t: int, long: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -371,7 +371,7 @@ def _near(percent: int):
             keep = pa.array(_allowed(x, y, total, percent))
             yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], ["a", "b"])
 
-    return run
+    return released(run)
 
 
 def near(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -390,7 +390,7 @@ def _set_rows(words: int):
             data = [flat[cuts[i] : cuts[i + 1]].tobytes() for i in mine.tolist()]
             yield pa.RecordBatch.from_arrays([piece.column("node").take(pa.array(mine)), pa.array(data, pa.binary())], ["node", "shingles"])
 
-    return run
+    return released(run)
 
 
 def _probe(percent: int):
@@ -406,7 +406,7 @@ def _probe(percent: int):
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
 
-    return run
+    return released(run)
 
 
 def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -497,7 +497,7 @@ def _linked(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataF
     top = comps.groupBy("comp").count().orderBy(F.desc("count"), "comp").limit(LARGE).collect()  # of fixed size
     large = spark.sparkContext.broadcast([r["comp"] for r in top])
     across = _blocks(lists, comps, reps, long).repartition(n, "token", "low", "high").sortWithinPartitions("token", "low", "high", "n", "node").mapInArrow(_across(percent, large), "node long, n int, ids binary, sizes binary")
-    second = stored(across.repartition(n, "node").sortWithinPartitions("node").mapInArrow(_search, "a long, b long").distinct(), "pairs")
+    second = stored(across.repartition(n, "node").sortWithinPartitions("node").mapInArrow(released(_search), "a long, b long").distinct(), "pairs")
     more = verified(second, reps, docs, words, percent)
     for done in (lists, pairs, second, *([] if long is None else [long])):
         drop_table(done)

@@ -1,5 +1,7 @@
 import base64
 import hashlib
+import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers as P
@@ -9,7 +11,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quillgraph.llm import byte_bpe
+from quillgraph.llm import byte_bpe, runtime
 from quillgraph.llm import text_kernel as K
 
 PATH = P.path("byte_bpe_multi_50k.tiktoken")
@@ -62,3 +64,49 @@ def test_empty_table(spark):
 def test_rank_file_is_read_as_the_library_reads_it():
     with open(PATH, "rb") as f:
         assert len(RANKS) == sum(1 for _ in f) and base64.b64encode(next(iter(RANKS)))
+
+
+def block_of(texts, monkeypatch):
+    """The rows of one block of texts, as the last step gets them."""
+    monkeypatch.setattr(byte_bpe.TaskContext, "get", classmethod(lambda cls: type("Task", (), {"partitionId": lambda self: 0})()))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
+    return pa.Table.from_batches(list(byte_bpe._encoder(PATH)(byte_bpe._exploder(5)(iter([batch])))))
+
+
+def many_words():
+    rng = random.Random(7)
+    return [" ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(200)) for _ in range(500)]
+
+
+def test_texts_are_written_out_in_windows(monkeypatch):
+    texts = ["", "one two", None, "x" * 300, "", "three four five six seven", "é漢😀 " * 9, "", ""]
+    for window in (1, 3, 8, 1 << 16):
+        monkeypatch.setattr(byte_bpe, "WINDOW", window, raising=False)
+        for r, t in zip(byte_bpe._digests(PATH, True)(block_of(texts, monkeypatch)).to_pylist(), texts, strict=True):
+            ids = LIBRARY.encode_ordinary(t or "")
+            assert r["ids"] == ids and r["n_tokens"] == len(ids)
+            assert r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+            assert r["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
+
+
+def test_a_block_is_written_out_without_objects_for_each_word(monkeypatch):
+    texts = many_words()
+    table, run = block_of(texts, monkeypatch), byte_bpe._digests(PATH, True)
+    run(table)  # tables by id are made once
+    tracemalloc.start()
+    run(table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24 * sum(map(len, texts))
+
+
+def test_workers_give_back_what_a_task_held(monkeypatch):
+    texts, held = many_words(), []
+    block_of(texts, monkeypatch)
+    monkeypatch.setattr(runtime, "release", lambda: held.append(tracemalloc.get_traced_memory()[0]))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
+    tracemalloc.start()
+    for _ in byte_bpe._exploder(5)(iter([batch])):
+        pass
+    tracemalloc.stop()
+    assert held[-1] < sum(map(len, texts))
