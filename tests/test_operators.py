@@ -165,6 +165,33 @@ def test_cohesion_of_crowded_clusters_meets_sets_and_not_pairs(spark, monkeypatc
     assert "FlatMapGroupsInArrow" in df._jdf.queryExecution().optimizedPlan().toString()
 
 
+@pytest.mark.parametrize("block", [1, 4])
+def test_stripes_of_blocks_give_every_pair_from_few_copies_of_a_block(spark, monkeypatch, block):
+    monkeypatch.setattr(similar, "BLOCK", block)
+    r = random.Random(block)
+    kinds = [r.sample(range(8), r.randrange(2, 8)) for _ in range(40)]
+    sets = {f"{c}{i}": r.choice(kinds) for i in range(100) for c in ("e", "é", "😀")}
+    f = spark.createDataFrame([(i, f"d{d}") for i in sets for d in sets[i]] + [(None, "d1"), (None, "d2"), ("lone", "unweighted")], "id string, dep string")
+    weights = spark.createDataFrame([(f"d{d}", 0.5 + d) for d in range(8)], "dep string, weight double")
+    total = lambda s: sum(0.5 + d for d in s)
+    want = {(a, b): round(total({*sets[a]} & {*sets[b]}) / total({*sets[a]} | {*sets[b]}), 6) for a in sets for b in sets if a.encode() < b.encode() and {*sets[a]} & {*sets[b]}}
+    df = similar.weighted_jaccard(f, weights)
+    rows = df.withColumn("task", F.spark_partition_id()).collect()
+    assert len(rows) == len(want) and all(abs(x.score - want[x.a, x.b]) < 2e-6 for x in rows)
+    blocks = -(-len(sets) // block)
+    assert len({x.task for x in rows}) < blocks * (blocks + 1) / 2 / 8
+
+
+def test_cohesion_where_blocks_have_no_rows(spark, monkeypatch):
+    monkeypatch.setattr(similar, "BLOCK", 1)
+    sets = {f"e{i:02}": [d for d in range(6) if i >> d & 1] + [9] for i in range(40)}
+    f = spark.createDataFrame([(i, f"d{d}") for i in sets for d in sets[i]], "id string, dep string")
+    weights = f.select("dep").distinct().withColumn("weight", F.lit(1.0))
+    want = [round(len({*sets[a]} & {*sets[b]}) / len({*sets[a]} | {*sets[b]}), 6) for a in sets for b in sets if a < b]
+    got = similar.cohesion(f.select("id", F.lit(3).alias("cluster")).distinct(), f, weights).collect()
+    assert [(x.cluster, x.n, x.cohesion) for x in got] == [(3, 40, round(sum(want) / len(want), 6))]
+
+
 def test_greedy_clusters_make_no_table_of_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(similar, "weighted_jaccard", None)
     assert queries.QUERIES["greedy_clusters"](spark, "/root/testdata/sf0.001").count() == facts.load(spark, "/root/testdata/sf0.001", "fingerprint").select("id").distinct().count()
